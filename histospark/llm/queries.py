@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprint_edits
 from .packing import pack
 from .token_count import token_counts
 
@@ -31,6 +32,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
 }
 
