@@ -11,8 +11,10 @@ from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
 from .packing import pack
+from .pii import pii_report
 from .token_count import token_counts
 
+PSEUDONYM_KEY = "change this key"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -20,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -41,6 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
