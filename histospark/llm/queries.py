@@ -13,6 +13,7 @@ from .fingerprints import fingerprint_edits
 from .packing import pack
 from .pii import pii_report
 from .token_count import token_counts
+from .toxicity import held_out, learn, score_toxicity
 
 PSEUDONYM_KEY = "change this key"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +31,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -49,6 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pseudonyms": op3_pseudonyms,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
