@@ -14,6 +14,7 @@ from .packing import pack
 from .pii import pii_report
 from .token_count import token_counts
 from .toxicity import held_out, learn, score_toxicity
+from .warc import archive_and_index
 
 PSEUDONYM_KEY = "change this key"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +42,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_and_index(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_order")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
