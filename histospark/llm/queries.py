@@ -13,6 +13,7 @@ from .fingerprints import fingerprint_edits
 from .jaccard_join import jaccard_components
 from .packing import pack
 from .pii import pii_report
+from .suffix_dedup import remove_repeats
 from .token_count import token_counts
 from .toxicity import held_out, learn, score_toxicity
 from .warc import archive_and_index
@@ -29,6 +30,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
@@ -66,6 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
