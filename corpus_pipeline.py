@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from histospark.llm.exact_dedup import kept_documents
+from histospark.llm.jaccard_join import jaccard_components
+from histospark.llm.packing import pack
+from histospark.llm.pii import pseudonymise
+from histospark.llm.queries import PSEUDONYM_KEY, WORD_BPE
 from histospark.llm.storage import stored
+from histospark.llm.toxicity import learn, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a lexicon learned from the labels scores below one half."""
+    return without_toxic(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +24,32 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similarity 0.75 or more connect, the one with the smallest id stays."""
+    found = jaccard_components(docs).where(F.col("doc_id") != F.col("component_id"))
+    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers and dates replaced within the texts; n_chars follows."""
+    made = pseudonymise(docs, PSEUDONYM_KEY)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return made.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), length).otherwise(F.col("n_chars")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return pack(docs, WORD_BPE)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_copies),
+    ("jaccard_join", near_copies),
+    ("pseudonyms", pseudonyms),
+    ("best_fit_packing", packing),
+]
 
 #: No SQL can express the learned and the permuting stages; tests hold the stages against brute force.
 ORACLE_SQL = None
