@@ -6,7 +6,8 @@ The totals go back along the same salted key, so that the copies of one content,
 are spread over SALTS keys on the way in and on the way back. Only ids and hashes move for this.
 
 Bytes are compared inside each group of two or more: the contents of such groups are reduced to the distinct ones,
-map-side first, and a hash that is left with more than one is a collision. Colliding hashes, if any, are grouped once
+map-side first, and a hash that is left with more than one is a collision. A bitmap of FILTER_BITS bits, half a megabyte
+however many rows there are, keeps most contents without a copy out of that shuffle; the join behind it is exact. Colliding hashes, if any, are grouped once
 more by hash and content, and that grouping replaces the other for their rows.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 SALTS = 128
+FILTER_BITS = 1 << 22
 KEY = ["_h1", "_h2"]
 
 
@@ -48,7 +50,7 @@ def content_groups(rows: DataFrame, extra: dict[str, Column] | None = None, lane
     grouped = narrow.join(spread, [*KEY, "_salt"]).drop("_salt")
 
     repeated = spread.where("_size > 1")
-    contents = hashed.select(*KEY, "_salt", "_content").join(repeated, [*KEY, "_salt"], "left_semi")
+    contents = _likely(hashed.select(*KEY, "_salt", "_content"), repeated).join(repeated.select(*KEY, "_salt"), [*KEY, "_salt"])
     distinct = contents.select(*KEY, "_content").distinct()
     collided = stored(distinct.groupBy(*KEY).count().where("count > 1").select(*KEY), "content-collisions")
     if collided.isEmpty():
@@ -56,6 +58,18 @@ def content_groups(rows: DataFrame, extra: dict[str, Column] | None = None, lane
     return _regrouped(grouped, hashed, collided)
 
 
+def _likely(hashed: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of ``hashed`` whose bit is set by some row of ``repeated``. The broadcast is of FILTER_BITS bits at most, in
+    rows of 2^15 bits."""
+    place = F.pmod(F.col("_h1"), F.lit(FILTER_BITS))
+    bits = repeated.select(F.floor(place / 32768).alias("_part"), F.expr(f"pmod(_h1, {FILTER_BITS}) % 32768").alias("_bit"))
+    maps = F.broadcast(bits.groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map")))
+    byte = F.expr(f"cast(conv(hex(substring(_map, cast(pmod(_h1, {FILTER_BITS}) % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr(f"cast(pmod(_h1, {FILTER_BITS}) % 8 as int)")
+    near = hashed.withColumn("_part", F.floor(place / 32768)).join(maps, "_part")
+    return near.where(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1).drop("_part", "_map")
+
+
 def _regrouped(grouped: DataFrame, hashed: DataFrame, collided: DataFrame) -> DataFrame:
     """Replace keep and size for the rows of colliding hashes by a grouping on hash and bytes."""
     rows = hashed.select("_id", *KEY, "_content").join(collided, KEY, "left_semi")
@@ -89,6 +103,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of ``docs`` that stay, with all their columns."""
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
+    """The documents of ``docs`` that stay, with all their columns: rows whose id stays for none of their texts go. The join is with the ids
+    that go, which are the fewer ones."""
+    stays = exact_dedup(docs, id_col, text_col).groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("_any"))
+    gone = stays.where("NOT _any").select("_gone")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
