@@ -37,7 +37,7 @@ SIGNS = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "clownfish", "circus clown", "idiot proof", "loser bracket", "oxymoron")
 
 _WORD = re.compile(r"[^\W_]+")
-_TABLE = {ord(k): v for k, v in (LOOKALIKES | SIGNS).items()} | {ord("i"): "l"}
+_TABLE = {ord(k): v.replace("i", "l") for k, v in (LOOKALIKES | SIGNS | {"i": "i"}).items()}
 
 
 def fold(text: str) -> str:
