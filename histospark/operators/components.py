@@ -70,8 +70,8 @@ def area_filter(labels: DataFrame, lower: int, upper: int | None = None) -> Data
 
 
 def area_threshold(px: DataFrame, cols: int, lower: int, upper: int | None, connectivity: int, tile: int = TILE) -> DataFrame:
-    """Label, then filter by area."""
-    return area_filter(label(px, cols, connectivity, tile=tile), lower, upper)
+    """Label, then filter by area. Labels are a table, as both sides of the filter read them."""
+    return area_filter(table(label(px, cols, connectivity, tile=tile), "labels"), lower, upper)
 
 
 def area_open(px: DataFrame, cols: int, lower: int, upper: int | None, connectivity: int, labeled: bool = False, tile: int = TILE) -> DataFrame:
@@ -85,12 +85,24 @@ def bounding_boxes(labels: DataFrame) -> DataFrame:
     return labels.groupBy(*OBJECT).agg(F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy"))
 
 
+def objects(labels: DataFrame) -> DataFrame:
+    """(image_id, label, area, minx, maxx, miny, maxy): areas and boxes in one aggregation."""
+    return labels.groupBy(*OBJECT).agg(
+        F.count(F.lit(1)).alias("area"), F.min("x").alias("minx"), F.max("x").alias("maxx"), F.min("y").alias("miny"), F.max("y").alias("maxy")
+    )
+
+
+def renumbered(found: DataFrame) -> DataFrame:
+    """Objects with labels 1..n per image, in the order of their labels."""
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy("label")).cast("long")
+    return found.withColumn("label", rank)
+
+
 def label_filtered(px: DataFrame, cols: int, connectivity: int, keep: Callable[[DataFrame], DataFrame] | Column, binary: bool = False, tile: int = TILE) -> DataFrame:
     """Labels of the objects that a predicate keeps: a column over (area, minx, maxx, miny, maxy), or a function from that table of
     objects to the objects to keep."""
     labels = table(label(px, cols, connectivity, tile=tile), "labels")
-    objects = area(labels).join(bounding_boxes(labels), OBJECT)
-    kept = keep(objects) if callable(keep) else objects.where(keep)
+    kept = keep(objects(labels)) if callable(keep) else objects(labels).where(keep)
     out = labels.join(kept.select(*OBJECT), OBJECT, "left_semi")
     return out.select(*PIXEL, F.lit(255).alias("v")) if binary else out
 

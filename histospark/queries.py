@@ -12,7 +12,7 @@ from .functions.texture import texture_features
 from .operators import compare, eventlog, features, geodesic, histogram, layout, neighbors, watershed
 from .operators import components as comp
 from .plans import segmentation
-from .schema import OBJECT, PIXEL
+from .schema import PIXEL
 from .sources import fixtures as fx
 from .sources.images import size_phantom
 
@@ -257,8 +257,8 @@ def area_open(s, d):
 @query(fx.sql(f"""+ {_LABELS}, {_KEPT}, k AS (SELECT label AS l, row_number() OVER (ORDER BY label) AS n FROM kept)
     SELECT image_id, n AS label, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, count(*) AS area FROM lab JOIN k ON l = label GROUP BY image_id, n""", "mosaic", recursive=True))
 def entity_boxes(s, d):
-    labels = comp.relabel(comp.area_threshold(foreground(fx.mosaic(s, d), 153), COLS, 3, 1000, 8, 64))
-    return comp.bounding_boxes(labels).join(comp.area(labels), OBJECT)
+    found = comp.objects(mosaic_labels(s, d, tile=256))
+    return comp.renumbered(found.where("area >= 3 AND area < 1000"))
 
 
 @query(fx.sql(f"""+ {_LABELS}, k AS (SELECT label FROM lab GROUP BY label HAVING max(x) - min(x) >= 2 AND count(*) > 4) SELECT lab.* FROM lab JOIN k USING (label)""", "mosaic", recursive=True))
