@@ -73,6 +73,16 @@ def is_background(b: Column, g: Column, r: Column, level: int = 220) -> Column:
     return (b > level) & (g > level) & (r > level)
 
 
+def convert(v: Column, kind: str, scale: float = 1.0, offset: float = 0.0) -> Column:
+    """scale * v + offset as another kind; integer kinds round half to even and saturate."""
+    bounds = {"uchar": (0, 255), "char": (-128, 127), "ushort": (0, 65535), "short": (-32768, 32767), "int": (-(1 << 31), (1 << 31) - 1)}
+    out = v.cast("double") * scale + offset
+    if kind in ("float", "double"):
+        return out.cast(kind)
+    low, high = bounds[kind]
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.bround(out).cast("long"))).cast("int")
+
+
 def ordered_bits(v: Column) -> Column:
     """A float as an int of the same order: negative floats have their lower 31 bits flipped. The bits come from the value's sign,
     exponent and fraction, as SQL has no cast of bits; values are finite and normal, or zero."""

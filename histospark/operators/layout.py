@@ -32,6 +32,12 @@ def crop(px: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFrame:
     return inside.withColumns({"y": F.col("y") - y0, "x": F.col("x") - x0})
 
 
+def remove_border(px: DataFrame, width: int) -> DataFrame:
+    """The image without its outermost rows and columns, its new corner at 0."""
+    inner = px.join(sizes(px), "image_id").where((F.col("y") >= width) & (F.col("x") >= width) & (F.col("y") < F.col("h") - width) & (F.col("x") < F.col("w") - width))
+    return inner.withColumns({"y": F.col("y") - width, "x": F.col("x") - width}).drop("h", "w")
+
+
 def split_channels(px: DataFrame) -> dict[str, DataFrame]:
     """The planes of a colour image."""
     return {c: px.select(*PIXEL, F.col(c).alias("v")) for c in ("b", "g", "r")}

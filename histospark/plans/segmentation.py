@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as s
@@ -115,3 +115,20 @@ def segment_nuclei(px: DataFrame, cols: int, t: Thresholds = Thresholds(), tile:
     done = F.when(F.col("status") != s.CONTINUE, F.col("status")).when(F.col("_some"), s.SUCCESS).otherwise(s.NO_CANDIDATES_LEFT)
     status = state.join(some, "image_id", "left").select("image_id", done.alias("status"))
     return labels, c.bounding_boxes(labels), status
+
+
+def segment_files(spark: SparkSession, path: str, out: str, t: Thresholds = Thresholds(), tile: int = TILE) -> DataFrame:
+    """Segment the image files below ``path``; labels and boxes of those that succeed are written below ``out``. (image_id, path, status) of every file; files
+    that are no image have status -1."""
+    from ..sources.images import read_images, read_status
+
+    files = table(read_status(spark, path), "files")
+    px = table(read_images(spark, path), "image-pixels")
+    cols = px.agg(F.max("x")).first()[0]
+    if cols is None:
+        return files
+    labels, boxes, status = segment_nuclei(px, cols + 1, t, tile)
+    labels.write.mode("overwrite").parquet(f"{out}/labels")
+    boxes.write.mode("overwrite").parquet(f"{out}/boxes")
+    done = status.withColumnRenamed("status", "_done")
+    return files.join(done, "image_id", "left").select("image_id", "path", F.coalesce("_done", "status").alias("status"))

@@ -128,6 +128,12 @@ def crop(s, d):
     return layout.crop(fx.mosaic(s, d), 20, 30, 50, 60)
 
 
+@query(fx.sql("SELECT image_id, CAST(y - 1 AS INT) AS y, CAST(x - 1 AS INT) AS x, CAST(least(greatest(v * 2 - 100, 0), 255) AS INT) AS v, CAST(v AS FLOAT) / 4 AS f FROM emb_px WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6", "emb_px"))
+def convert_without_border(s, d):
+    inner = layout.remove_border(fx.emb_px(s, d), 1)
+    return inner.select(*PIXEL, p.convert(F.col("v"), "uchar", 2, -100).alias("v"), p.convert(F.col("v"), "float", 0.25).alias("f"))
+
+
 @query(fx.sql("SELECT image_id, y, x, b AS v FROM rgb_px", "rgb_px"))
 def split_channel(s, d):
     return layout.split_channels(fx.rgb_px(s, d))["b"]

@@ -172,6 +172,8 @@ def test_png_by_the_image_source(spark, tmp_path):
     got = {(r["y"], r["x"]): (r["b"], r["g"], r["r"]) for r in io.read_images(spark, str(tmp_path)).collect()}
     assert got == {(0, 0): (30, 20, 10), (0, 1): (60, 50, 40)}
     assert sorted(r["status"] for r in io.read_status(spark, str(tmp_path)).collect()) == [-1, 4]
+    done = segmentation.segment_files(spark, str(tmp_path), str(tmp_path / "out"))
+    assert sorted(r["status"] for r in done.collect()) == [-1, 3]
 
 
 def test_logs_to_files(spark, tmp_path):
