@@ -18,16 +18,18 @@ from pyspark.sql import functions as F
 from .words import ChunkTable, Vocabulary, chunks
 
 _CODERS: dict[int, ChunkTable] = {}
+NO_LIMIT = 1 << 62
 
 
 class SuffixAutomaton:
     """Generalised suffix automaton of words over small integers, with the words that end in each state.
 
-    ``step`` has the transitions by state * width + symbol; ``link`` the suffix links; ``ends`` by state the (length,
-    word number) of the words that are among its strings; ``found`` the nearest state on the suffix path that has any.
+    ``step`` has the transitions by state * width + symbol; ``link`` the suffix links; ``chain`` by state the (length, value) of
+    the words that are among its strings or those of the states on its suffix path, longest first. A state is left with a
+    length, and only words of that length or less are suffixes of what was read.
     """
 
-    def __init__(self, words: list[list[int]], width: int) -> None:
+    def __init__(self, words: list[list[int]], values: list[int], width: int) -> None:
         self.width = width
         step: dict[int, int] = {}
         self.step, self.link, self.length = step, [-1], [0]
@@ -43,9 +45,10 @@ class SuffixAutomaton:
                 state = step[state * width + s]
             ends.setdefault(state, []).append((len(word), number))
         self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        self.found = [0] * len(self.link)
+        self.chain: list[tuple] = [()] * len(self.link)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.found[state] = state if state in ends else self.found[self.link[state]]
+            own = tuple((n, values[number]) for n, number in self.ends.get(state, ()))
+            self.chain[state] = own + self.chain[self.link[state]]
 
     def _new(self, length: int, link: int, out: list[list[int]]) -> int:
         self.length.append(length)
@@ -80,23 +83,6 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, s, out)
         return new
 
-    def suffixes(self, word: list[int]):
-        """For each prefix of ``word``, the (length, word number) of the words that are suffixes of it, longest first."""
-        step, link, length, ends, found, w = self.step, self.link, self.length, self.ends, self.found, self.width
-        state = at = 0
-        for s in word:
-            while state and state * w + s not in step:
-                state = link[state]
-                at = length[state]
-            if (to := step.get(state * w + s)) is not None:
-                state, at = to, at + 1
-            hits, k = [], found[state]
-            while k:
-                hits += [e for e in ends[k] if e[0] <= at]
-                k = found[link[k]]
-            yield hits
-
-
 class PrefixCoder:
     """Encodes words of a vocabulary."""
 
@@ -108,17 +94,15 @@ class PrefixCoder:
         for k, (a, b, c) in enumerate(vocabulary.merges):
             self.parts[c], self.born[c] = (a, b), k
             symbols[c] = symbols[a] + symbols[b]
-        self.fits = ChunkPairs(self._fits)
         # Tokens that their own symbols don't merge into are never made, and so never candidates.
-        self.numbers = [c for c in symbols if c not in self.parts or self.fits[self.parts[c], self.born[c]]]
-        self.automaton = SuffixAutomaton([symbols[c] for c in self.numbers], 512)
-        self.fits.clear()
+        self.numbers = [c for c in symbols if c not in self.parts or self._fits(*self.parts[c], self.born[c])]
+        self.automaton = SuffixAutomaton([symbols[c] for c in self.numbers], self.numbers, 512)
+        self.seams = ChunkTable(lambda key: self._fits(key >> 20, key & 0xFFFFF, NO_LIMIT), 1 << 19)
 
-    def _fits(self, key) -> bool:
+    def _fits(self, a: int, b: int, limit: int) -> bool:
         """Whether merging leaves a seam between two tokens: undo the younger merge at the seam, step by step, and see if the
         two now adjacent would have been joined before that merge. ``key`` is (left, right), limit: pairs that rank at
         or above the limit don't count."""
-        (a, b), limit = key
         rank, parts, born = self.vocabulary.rank, self.parts, self.born
         while True:
             joined = rank.get((a, b))
@@ -138,15 +122,25 @@ class PrefixCoder:
         """The ids of one word."""
         symbols = list(word)
         symbols[-1] += 256
-        last: list[int] = [-1] * (len(word) + 1)
-        back = [0] * (len(word) + 1)
-        numbers, fits = self.numbers, self.fits
-        for i, hits in enumerate(self.automaton.suffixes(symbols), 1):
-            for n, number in hits:
-                token, at = numbers[number], i - n
-                if not at or (last[at] >= 0 and fits[(last[at], token), 1 << 62]):
-                    last[i], back[i] = token, at
+        step, chain, w = self.automaton.step, self.automaton.chain, self.automaton.width
+        link, length, seams = self.automaton.link, self.automaton.length, self.seams
+        last, back = [-1], [0]
+        state = at = 0
+        for i, s in enumerate(symbols, 1):
+            to = step.get(state * w + s)
+            while to is None and state:
+                state = link[state]
+                at = length[state]
+                to = step.get(state * w + s)
+            state, at = (0, 0) if to is None else (to, at + 1)
+            for n, token in chain[state]:
+                if n <= at and (n == i or ((before := last[i - n]) >= 0 and seams[before << 20 | token])):
+                    last.append(token)
+                    back.append(i - n)
                     break
+            else:
+                last.append(-1)
+                back.append(0)
         out, i = [], len(word)
         while i:
             out.append(last[i])
@@ -154,16 +148,6 @@ class PrefixCoder:
         return out[::-1]
 
 
-class ChunkPairs(ChunkTable):
-    """A bounded table by pairs of tokens."""
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value = self.work(key)
-        return value
-
-
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     """As the library does for a file without a decoder: the tokens with a space between."""
     return " ".join(vocabulary.tokens[i] for i in ids)
@@ -174,13 +158,17 @@ def _coder(key: int, text: str) -> ChunkTable:
     if key not in _CODERS:
         vocabulary = Vocabulary(text)
         coder = PrefixCoder(vocabulary)
-        words = ChunkTable(coder.encode)
 
-        def coded(chunk: str) -> tuple[int, str, str]:
-            ids = [i for p in vocabulary.pieces(chunk) for i in ([p] if isinstance(p, int) else words[p])]
+        def outcome(ids: list[int]) -> tuple[int, str, str]:
             return len(ids), " ".join(map(str, ids)), decode(vocabulary, ids)
 
-        _CODERS[key] = ChunkTable(coded, 1 << 17)
+        words = ChunkTable(lambda word: outcome(coder.encode(word)), 1 << 18)
+
+        def coded(chunk: str) -> tuple[int, str, str]:
+            parts = [outcome([p]) if isinstance(p, int) else words[p] for p in vocabulary.pieces(chunk)]
+            return parts[0] if len(parts) == 1 else (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
+
+        _CODERS[key] = ChunkTable(coded)
     return _CODERS[key]
 
 

@@ -50,7 +50,7 @@ def _counter(key: int, text: str) -> ChunkTable:
     """This worker's table of chunk counts for a vocabulary."""
     if key not in _TABLES:
         vocabulary = Vocabulary(text)
-        words = ChunkTable(lambda w: count_word(vocabulary, w))
+        words = ChunkTable(lambda w: count_word(vocabulary, w), 1 << 18)
         _TABLES[key] = ChunkTable(lambda c: sum(1 if isinstance(p, int) else words[p] for p in vocabulary.pieces(c)))
     return _TABLES[key]
 

@@ -52,11 +52,15 @@ class Vocabulary:
         self._added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in p)
         self._word = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self._ascii = re.compile(pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "a-z0-9"), re.ASCII)
         self._library = Tokenizer.from_str(text)
         self._byte = {c: b for b, c in shown.items()}
 
     def pieces(self, chunk: str) -> list[int | bytes]:
         """Of a chunk without white space: ids of added tokens, and words as bytes."""
+        low = chunk.lower()
+        if low.isalpha() and (chunk.isascii() or not _RARE.search(chunk)):
+            return [low.encode()]
         if "<" not in chunk or not self._added.search(chunk):
             return self._words(chunk)
         out: list[int | bytes] = []
@@ -68,7 +72,9 @@ class Vocabulary:
         return out + self._words(chunk[at:])
 
     def _words(self, text: str) -> list[bytes]:
-        if not text.isascii() and _RARE.search(text):  # forms, cases and classes as in the library's Unicode version
+        if text.isascii():
+            return [w.encode() for w in self._ascii.findall(text.lower())]
+        if _RARE.search(text):  # forms, cases and classes as in the library's Unicode version
             cut = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
             return [bytes(self._byte[c] for c in w) for w, _ in cut]
         return [w.encode() for w in self._word.findall(text.lower())]
@@ -80,16 +86,21 @@ def chunks(text: str) -> list[str]:
 
 
 class ChunkTable(dict):
-    """What ``work`` makes of each chunk, kept for short chunks; emptied when it has ``limit`` entries."""
+    """What ``work`` makes of each chunk, kept for short chunks in two generations of ``limit`` entries: when the younger is full
+    it becomes the older, and what is used again moves back, so that common chunks stay."""
 
-    def __init__(self, work, limit: int = 1 << 18) -> None:
+    def __init__(self, work, limit: int = 1 << 17) -> None:
         super().__init__()
-        self.work, self.limit = work, limit
+        self.work, self.limit, self.older = work, limit, {}
 
     def __missing__(self, chunk):
-        value = self.work(chunk)
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = value
+        value = self.older.get(chunk)
+        if value is None:
+            value = self.work(chunk)
+            if not isinstance(chunk, int) and len(chunk) > LONGEST_KEPT:
+                return value
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = value
         return value
