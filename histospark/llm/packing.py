@@ -9,16 +9,17 @@ bin that is not full out of a thousand.
 
 from __future__ import annotations
 
-import os
+import struct
 import zlib
 from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .storage import stored
-from .words import ChunkTable, chunks
+from .words import ChunkTable, Vocabulary, byte_symbols, chunks
 
 TOKENS_PER_GROUP = 4_000_000
 _TABLES: dict[int, ChunkTable] = {}
@@ -53,13 +54,18 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> list[tuple[in
 
 
 def _ids(key: int, text: str) -> ChunkTable:
-    """This worker's table of ids, as little-endian 32-bit numbers, by chunk."""
+    """This worker's table of ids, as little-endian 32-bit numbers, by chunk; words are split by the tokenizers library's model."""
     if key not in _TABLES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        vocabulary = Vocabulary(text)
+        model, shown = Tokenizer.from_str(text).model, byte_symbols()
+        packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        words = ChunkTable(lambda w: packed([t.id for t in model.tokenize("".join([shown[b] for b in w]))]), 1 << 18)
 
-        tokenizer = Tokenizer.from_str(text)
-        _TABLES[key] = ChunkTable(lambda c: b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(c, add_special_tokens=False).ids))
+        def coded(chunk: str) -> bytes:
+            parts = [packed([p]) if isinstance(p, int) else words[p] for p in vocabulary.pieces(chunk)]
+            return parts[0] if len(parts) == 1 else b"".join(parts)
+
+        _TABLES[key] = ChunkTable(coded)
     return _TABLES[key]
 
 
