@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import FILTER_BITS, SALTS
 from .graph import components
-from .shingles import linked, set_ids, shingle_sets
+from .shingles import cuts, linked, set_ids, shingle_sets
 from .storage import stored
 
 BLOCK_ENTRIES = 1 << 20
 BUCKET_ENTRIES = 400_000
-SLOTS = 1 << 20
 PIVOTS = 64
-ENTRY = "bucket int, kind int, hashes binary, sets binary"
+ENTRY = "bucket int, kind int, block long, hashes binary, sets binary"
+COUNTS = "block long, sets binary, counts binary"
 
 
 def _least(n: int) -> int:
@@ -59,15 +59,16 @@ def _entries(sets, buckets: int, length):
         new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
         single = new & np.concatenate([new[1:], [True]])
         out = []
+        name = int(ids[0])
         for kind, h, s in ((0, hashes[single], ids[owner[single]]), (2, hashes[new & ~single], None)):
             part = (h // np.uint64(width)).astype(np.int64)
-            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
-                out.append((int(part[a]), kind, h[a:b].tobytes(), b"" if s is None else s[a:b].tobytes()))
+            for a, b in cuts(part):
+                out.append((int(part[a]), kind, name, h[a:b].tobytes(), b"" if s is None else s[a:b].tobytes()))
         counts = np.bincount(owner[~single], minlength=len(ids))
         if (some := counts > 0).any():
-            out.append((int(ids[0]) % buckets, 1, counts[some].astype(np.int64).tobytes(), ids[some].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "hashes", "sets"])
+            out.append((name % buckets, 1, name, counts[some].astype(np.int64).tobytes(), ids[some].tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "kind", "block", "hashes", "sets"])
 
     for key, hashes in sets:
         if len(hashes) and key not in block:
@@ -81,22 +82,36 @@ def _entries(sets, buckets: int, length):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(set id, shared) of a bucket: how many of its entries of each set other sets have as well."""
-    kind = table.column("kind").to_numpy()
+    """Rows of COUNTS of a bucket: for each block, how many entries of its sets other sets have as well."""
+    kind, block = table.column("kind").to_numpy(), table.column("block").to_numpy()
     blobs = {c: table.column(c).to_pylist() for c in ("hashes", "sets")}
     join = lambda c, k, t: np.frombuffer(b"".join(x for x, own in zip(blobs[c], kind, strict=True) if own == k), t)
     hashes, sets = join("hashes", 0, np.uint64), join("sets", 0, np.int64)
+    home = np.repeat(block[kind == 0], [len(x) // 8 for x, own in zip(blobs["sets"], kind, strict=True) if own == 0])
     order = np.lexsort((sets, hashes))
-    hashes, sets = hashes[order], sets[order]
+    hashes, sets, home = hashes[order], sets[order], home[order]
+    out = [(int(b), s, h) for b, k, s, h in zip(block, kind, blobs["sets"], blobs["hashes"], strict=True) if k == 1]
     if len(hashes):
         fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (sets[1:] != sets[:-1])])
-        hashes, sets = hashes[fresh], sets[fresh]
+        hashes, sets, home = hashes[fresh], sets[fresh], home[fresh]
         same = hashes[1:] == hashes[:-1]
         shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | np.isin(hashes, join("hashes", 2, np.uint64))
-        ids, counts = np.unique(sets[shared], return_counts=True)
-    else:
-        ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return pa.table({"set_id": np.concatenate([ids, join("sets", 1, np.int64)]), "shared": np.concatenate([counts, join("hashes", 1, np.int64)]).astype(np.int64)})
+        sets, home = sets[shared], home[shared]
+        order = np.argsort(home, kind="stable")
+        sets, home = sets[order], home[order]
+        for a, b in cuts(home):
+            ids, counts = np.unique(sets[a:b], return_counts=True)
+            out.append((int(home[a]), ids.tobytes(), counts.astype(np.int64).tobytes()))
+    columns = list(zip(*out, strict=True)) or [(), (), ()]
+    return pa.table({"block": pa.array(columns[0], pa.int64()), "sets": pa.array(columns[1], pa.binary()), "counts": pa.array(columns[2], pa.binary())})
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """(set_id, shared) of a block."""
+    sets = np.frombuffer(b"".join(table.column("sets").to_pylist()), np.int64)
+    ids, place = np.unique(sets, return_inverse=True)
+    counts = np.bincount(place, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64), len(ids))
+    return pa.table({"set_id": ids, "shared": counts.astype(np.int64)})
 
 
 def _stored_sets(batches):
@@ -106,9 +121,10 @@ def _stored_sets(batches):
 
 
 def _sharing(source: DataFrame, sets_of, buckets: int, length) -> DataFrame:
-    """(set_id, shared) summed over buckets."""
+    """(set_id, shared): counted by bucket, then summed by the block that a set came from, as rows of blobs, and by set."""
     rows = source.mapInArrow(lambda batches: _entries(sets_of(batches), buckets, length), ENTRY)
-    return rows.groupBy("bucket").applyInArrow(_shared, "set_id long, shared long").groupBy("set_id").agg(F.sum("shared").alias("shared"))
+    counts = rows.groupBy("bucket").applyInArrow(_shared, COUNTS).groupBy("block").applyInArrow(_summed, "set_id long, shared long")
+    return counts.groupBy("set_id").agg(F.sum("shared").alias("shared"))
 
 
 def _among(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -122,83 +138,82 @@ def _among(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return near.select("_id", "_text").join(chosen, "_id")
 
 
-def _commonness(sets: DataFrame) -> np.ndarray:
-    """How many sets have a shingle of each of SLOTS slots: a table of fixed size. It only orders shingles; any order is exact."""
-
-    def counted(batches):
-        counts = np.zeros(SLOTS, np.int64)
-        for _, hashes in _stored_sets(batches):
-            np.add.at(counts, (hashes % np.uint64(SLOTS)).astype(np.int64), 1)
-        slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
-
-    out = np.zeros(SLOTS, np.int64)
-    for r in sets.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["slot"]] = r["n"]
-    return out
-
+def _spread(sets, buckets: int, head=lambda hashes: hashes):
+    """Rows (bucket, hashes, sets) of all entries of (set id, sorted hashes), in blocks."""
+    width = np.uint64(-(-(1 << 64) // buckets))
 
-def _region_edges(sets: DataFrame, buckets: int) -> DataFrame:
-    """Edges (a, b) between sets such that any two with a shingle of their rarest quarter in common are connected."""
-    counts = _commonness(sets)
-    grade = np.log2(np.maximum(counts, 1) / max(1.0, counts.mean())).clip(0, 60).astype(np.uint8)
-    shared = sets.sparkSession.sparkContext.broadcast(grade)
-
-    def rarest(batches):
-        own = shared.value
-        for key, hashes in _stored_sets(batches):
-            order = np.lexsort((hashes, own[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
-            yield key, hashes[order][: len(hashes) - _least(len(hashes)) + 1]
-
-    def firsts(batches):
-        """(bucket, hashes, sets): each hash of a block with one set; and edges from that to the others of the block."""
-        block, size = [], 0
-        for key, hashes in rarest(batches):
-            block.append((key, hashes))
-            size += len(hashes)
-            if size >= BLOCK_ENTRIES:
-                yield from _firsts(block, buckets)
-                block, size = [], 0
-        if block:
-            yield from _firsts(block, buckets)
-
-    def met(table: pa.Table) -> pa.Table:
-        kind, blobs = table.column("kind").to_pylist(), {c: table.column(c).to_pylist() for c in ("hashes", "sets")}
-        join = lambda c, k, t: np.frombuffer(b"".join(x for x, own in zip(blobs[c], kind, strict=True) if own == k), t)
-        hashes, ids = join("hashes", 0, np.uint64), join("sets", 0, np.int64)
+    def flushed():
+        ids = np.repeat(np.array([k for k, _ in block], np.int64), [len(h) for _, h in block])
+        hashes = np.concatenate([h for _, h in block])
         order = np.argsort(hashes, kind="stable")
-        a, b = _stars(hashes[order], ids[order])
-        a, b = np.concatenate([a, join("hashes", 1, np.int64)]), np.concatenate([b, join("sets", 1, np.int64)])
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        hashes, ids = hashes[order], ids[order]
+        part = (hashes // width).astype(np.int64)
+        out = [(int(part[i]), hashes[i:j].tobytes(), ids[i:j].tobytes()) for i, j in cuts(part)]
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "hashes", "sets"])
 
-    return sets.mapInArrow(firsts, ENTRY).groupBy("bucket").applyInArrow(met, "a long, b long")
-
-
-def _stars(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted hashes: the first set of each hash, and each further one."""
-    if not len(hashes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-    hub = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return hub[~new], ids[~new]
+    block, size = [], 0
+    for key, hashes in sets:
+        if len(own := head(hashes)):
+            block.append((key, own))
+            size += len(own)
+        if size >= BLOCK_ENTRIES:
+            yield flushed()
+            block, size = [], 0
+    if block:
+        yield flushed()
 
 
-def _firsts(block, buckets: int):
-    ids = np.repeat(np.array([k for k, _ in block], np.int64), [len(h) for _, h in block])
-    hashes = np.concatenate([h for _, h in block])
+def _runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket: hashes in order, the sets in order within each, and where each hash begins (and the end)."""
+    hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+    ids = np.frombuffer(b"".join(table.column("sets").to_pylist()), np.int64)
     order = np.lexsort((ids, hashes))
     hashes, ids = hashes[order], ids[order]
-    a, b = _stars(hashes, ids)
-    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-    hashes, ids = hashes[new], ids[new]
-    part = (hashes // np.uint64(-(-(1 << 64) // buckets))).astype(np.int64)
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    out = [(int(part[i]), 0, hashes[i:j].tobytes(), ids[i:j].tobytes()) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True)]
-    if len(a):
-        pairs = np.unique(np.stack([a, b], 1), axis=0)
-        out.append((int(pairs[0, 0]) % buckets, 1, pairs[:, 0].tobytes(), pairs[:, 1].tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "hashes", "sets"])
+    return hashes, ids, np.append(np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])), len(hashes))
+
+
+def _frequencies(table: pa.Table) -> pa.Table:
+    """(set_id, hashes, often) of a bucket: the hashes of each set that other sets have as well, and how many sets have them."""
+    hashes, ids, at = _runs(table)
+    often = np.repeat(np.diff(at), np.diff(at))
+    more = often > 1
+    hashes, ids, often = hashes[more], ids[more], often[more].astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    hashes, ids, often = hashes[order], ids[order], often[order]
+    own = cuts(ids)
+    return pa.table({"set_id": pa.array([int(ids[a]) for a, _ in own], pa.int64()), "hashes": pa.array([hashes[a:b].tobytes() for a, b in own], pa.binary()), "often": pa.array([often[a:b].tobytes() for a, b in own], pa.binary())})
+
+
+def _stars(table: pa.Table) -> pa.Table:
+    """(a, b) of a bucket: edges from the smallest set of each hash to the others."""
+    _, ids, at = _runs(table)
+    hub = np.repeat(ids[at[:-1]], np.diff(at))
+    other = hub != ids
+    pairs = np.unique(np.stack([hub[other], ids[other]], 1), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _region_edges(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) such that sets (set_id, hashes, n) with a shingle of their rarest quarter in common are connected. Rarity is exact: how
+    many of ``sets`` have a shingle; those that no other has come first and connect nothing."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, -(-total // BUCKET_ENTRIES))
+    spread = sets.select("set_id", "hashes").mapInArrow(lambda b: _spread(_stored_sets(b), buckets), "bucket int, hashes binary, sets binary")
+    parts = spread.groupBy("bucket").applyInArrow(_frequencies, "set_id long, hashes binary, often binary")
+    known = parts.groupBy("set_id").agg(F.collect_list("hashes").alias("h"), F.collect_list("often").alias("o")).join(sets.select("set_id", "n"), "set_id")
+
+    def rarest(batches):
+        for batch in batches:
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("set_id", "h", "o", "n"))
+            for key, h, o, n in zip(*columns, strict=True):
+                hashes, often = np.frombuffer(b"".join(h), np.uint64), np.frombuffer(b"".join(o), np.int64)
+                head = n - _least(n) + 1 - (n - len(hashes))
+                yield key, hashes[np.lexsort((hashes, often))][: max(0, head)]
+
+    few = max(8, -(-total // (4 * BUCKET_ENTRIES)))
+    met = known.mapInArrow(lambda b: _spread(rarest(b), few), "bucket int, hashes binary, sets binary")
+    return met.groupBy("bucket").applyInArrow(_stars, "a long, b long")
 
 
 class Region:
@@ -296,9 +311,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def measured(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
-            keys = [set_ids(s) for s in sets]
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
+            keys = [(len(s), *set_ids(s)) for s in shingle_sets(batch.column(1))]
+            columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_id", "n", "set_id", "other_id"])
 
     salted = rows.mapInArrow(measured, "_id long, n long, set_id long, other_id long").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
@@ -309,14 +323,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     heads = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-heads // BUCKET_ENTRIES))
-    from_texts = lambda batches: ((set_ids(s)[0], s) for b in batches for s in shingle_sets(b.column(0).to_pylist()))
+    from_texts = lambda batches: ((set_ids(s)[0], s) for b in batches for s in shingle_sets(b.column(0)))
     sharing = _sharing(rows.select("_text"), from_texts, buckets, head_length)
     enough = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * 3 / 4) / 8))
     chosen = stored(sharing.join(classes, "set_id").where(F.col("shared") >= enough).select(F.col("rep").alias("_id"), "set_id"), "sharing-heads")
 
     def with_sets(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(0).to_pylist())
+            sets = list(shingle_sets(batch.column(0)))
             columns = [pa.array([set_ids(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["set_id", "hashes", "n"])
 
@@ -324,7 +338,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = _sharing(some.select("set_id", "hashes"), _stored_sets, buckets, lambda n: n)
     keep = whole.join(some.select("set_id", "n"), "set_id").where(F.col("shared") >= F.ceil(F.col("n") * 3 / 4)).select("set_id")
     left = stored(some.join(keep, "set_id", "left_semi"), "sharing-sets")
-    regions = components(_region_edges(left.select("set_id", "hashes"), buckets))
+    regions = components(_region_edges(left))
     placed = left.join(regions, left["set_id"] == regions["node"]).select("set_id", "hashes", "n", F.col("root").alias("region"))
     joined = stored(placed.groupBy("region").applyInArrow(_joined, "set_id long, root long"), "linked-sets")
 

@@ -61,23 +61,24 @@ def _block(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts) -> list[np.ndarray]:
-    """For each text (None: empty) the sorted hashes of its distinct runs of WORDS words; of all its words, if it has fewer.
+def shingle_sets(column):
+    """For each text of an Arrow column (null: empty) the sorted hashes of its distinct runs of WORDS words; of all its words, if it has
+    fewer.
 
     Words are runs of bytes other than ASCII white space, with A to Z lower-cased. Texts are worked on in blocks of about
-    BLOCK_BYTES; a longer text is a block of its own.
+    BLOCK_BYTES, of which one is in memory; a longer text is a block of its own.
     """
-    out: list[np.ndarray] = []
     block: list[bytes] = []
     size = 0
-    for text in texts:
-        raw = (text or "").encode()
+    for text in column:
+        raw = (text.as_py() or "").encode()
         if block and size + len(raw) > BLOCK_BYTES:
-            out += _block(block)
+            yield from _block(block)
             block, size = [], 0
         block.append(raw)
         size += len(raw) + 1
-    return out + _block(block) if block else out
+    if block:
+        yield from _block(block)
 
 
 def set_ids(hashes: np.ndarray) -> tuple[int, int]:
@@ -89,3 +90,11 @@ def set_ids(hashes: np.ndarray) -> tuple[int, int]:
 def linked(common: int, a: int, b: int) -> bool:
     """Whether two sets of sizes a and b are similar by 0.75 or more."""
     return 100 * common >= 75 * (a + b - common)
+
+
+def cuts(key: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal values."""
+    if not len(key):
+        return []
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+    return list(zip(at, [*at[1:], len(key)], strict=True))
