@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import FILTER_BITS
-from .shingles import _mixed, _powers
+from .shingles import _mixed, _powers, cuts
 from .storage import stored
 
 LENGTH = 100
@@ -100,11 +100,10 @@ def _packed(found: np.ndarray, buckets: int):
     part = (found["anchor"] // np.uint64(-(-(1 << 64) // buckets))).astype(np.int64)
     order = np.argsort(part, kind="stable")
     found, part = found[order], part[order]
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True))
+    own = cuts(part)
     # Column by column, so that ids and starts compress.
-    blobs = [b"".join(found[c][i:j].tobytes() for c in STRETCH.names) for i, j in cuts]
-    return pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "stretches"])
+    blobs = [b"".join(found[c][i:j].tobytes() for c in STRETCH.names) for i, j in own]
+    return pa.RecordBatch.from_arrays([pa.array([int(part[i]) for i, _ in own], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "stretches"])
 
 
 def _unpacked(blobs: list[bytes]) -> np.ndarray:
@@ -225,10 +224,17 @@ def _covered(table: pa.Table) -> pa.Table:
         keep = np.arange(len(d)) != first
         out.append(np.stack([d[keep], s[keep], np.full(len(d) - 1, size)], 1))
     rows = np.concatenate(out)
-    if len(rows):  # the longest at each place
-        rows = rows[np.lexsort((-rows[:, 2], rows[:, 1], rows[:, 0]))]
-        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
-    return pa.table({"doc": rows[:, 0], "start": rows[:, 1], "size": rows[:, 2]})
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = []
+    ends = rows[:, 1] + rows[:, 2]
+    for a, b in cuts(rows[:, 0]):  # overlapping ones of a document become one
+        reach = np.maximum.accumulate(ends[a:b])
+        ends[a:b] = reach
+        new.append(np.concatenate([[True], rows[a + 1 : b, 1] > reach[:-1]]))
+    first = np.concatenate([np.zeros(0, bool), *new])
+    at = np.flatnonzero(first)
+    last = np.append(at[1:], len(rows))[: len(at)] - 1
+    return pa.table({"doc": rows[at, 0], "start": rows[at, 1], "size": ends[last] - rows[at, 1]})
 
 
 def _maybe(docs: DataFrame, chosen: DataFrame) -> DataFrame:
