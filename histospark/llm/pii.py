@@ -36,6 +36,10 @@ def _form(kind: str, group: int = 1) -> str:
     return FORMS[kind].replace("{n}", str(group))
 
 
+#: What each form has in it: only texts with one of these are searched. Two digits in a row are in all forms but those of addresses
+#: (email, ip) and of hex values.
+GATE = "@|[0-9][.]?[0-9]|[0-9a-f]{32}"
+
 #: ymd and dmy each have one group, which the second sees as group 2.
 PATTERN = "|".join(_form(k, 2 if k == "dmy" else 1) for k in FORMS)
 
@@ -161,15 +165,15 @@ def pseudonymised(text: str, key: str) -> tuple[Column, Column]:
     parts = f"split({text}, {_text(PATTERN)}, -1)"
     made = f"transform({found}, m -> {pseudonym_sql(key)})"
     joined = _let(parts, "tp", f"concat(tp[0], array_join(zip_with({made}, slice(tp, 2, size(tp)), (n, p) -> concat(n, p)), ''))")
-    some = f"{text} rlike '[0-9]{{2}}|@'"
+    some = f"{text} rlike '{GATE}'"
     return F.expr(f"if({some}, {joined}, {text})"), F.expr(f"if({some}, {found}, cast(array() as array<string>))")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its texts pseudonymised under ``key``; all columns stay, in their order.
 
-    A null text stays null, an empty one empty. Values that don't pass validation stay as they are. Texts without two
-    digits in a row and without an at sign are not searched. No shuffle.
+    A null text stays null, an empty one empty. Values that don't pass validation stay as they are. Texts without
+    what every form needs (GATE) are not searched. No shuffle.
     """
     name = f"`{text_col}`"
     made, _ = pseudonymised(name, key)
@@ -183,7 +187,7 @@ def pii_report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = f"regexp_extract_all(_text, {_text(PATTERN)}, 0)"
-    some = rows.withColumn("_found", F.expr(f"if(_text rlike '[0-9]{{2}}|@', {found}, cast(array() as array<string>))"))
+    some = rows.withColumn("_found", F.expr(f"if(_text rlike '{GATE}', {found}, cast(array() as array<string>))"))
     made = some.withColumn("_made", F.expr(f"transform(_found, m -> {pseudonym_sql(key)})"))
     parts = _let(f"split(_text, {_text(PATTERN)}, -1)", "tp", "concat(tp[0], array_join(zip_with(_made, slice(tp, 2, size(tp)), (n, p) -> concat(n, p)), ''))")
     changed = "size(filter(arrays_zip(_found, _made), z -> z._found != z._made))"

@@ -99,6 +99,18 @@ def test_pseudonyms_are_a_permutation(spark):
     assert len(set(replaced(spark, days))) == len(days)
 
 
+def test_pseudonyms_without_two_digits_in_a_row(spark):
+    hexes = ["a1b2c3d4" * 4, "abcdef" * 6, "f0" * 32]
+    texts = ["8.8.8.8", "at 1.1.1.1, then", "8.8.8.8 on port 10", *hexes, "version 1.2.3 and a.b", "one 1 two 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii_report(df, "k").orderBy("doc_id").collect()
+    assert [(r["n_found"], r["n_replaced"]) for r in got] == [(1, 1)] * 6 + [(0, 0)] * 2
+    out = [r["text"] for r in got]
+    assert out[0] != texts[0] and out[2] == f"{out[0]} on port 10" and "1.1.1.1" not in out[1]
+    assert all(re.fullmatch("[0-9a-f]+", o) and o != h and len(o) == len(h) for o, h in zip(out[3:6], hexes, strict=True))
+    assert out[6:] == texts[6:] and [r["text"] for r in pseudonymise(df, "k").orderBy("doc_id").collect()] == out
+
+
 def test_pseudonyms_of_odd_rows(docs, rows, odd, empty):
     same = pseudonymise(docs, "k")
     assert same.columns == docs.columns and {r["doc_id"]: r["text"] for r in same.collect()} == dict(rows)
