@@ -5,11 +5,13 @@ automaton finds the lexicon's entries, which are beginnings of words; what an ex
 weights found, divided by the number of words, give the score through a logistic curve.
 
 The lexicon is learned: beginnings of words that labelled documents of label 1 have, and others hardly ever do. Training
-reads at most SAMPLE labelled rows, chosen by a hash of the id; that bound keeps the broadcast of their ids small.
+reads at most SAMPLE labelled rows, chosen by a hash of the id; that bound keeps the broadcast of their ids small. Of these
+rows copies and near copies count as one document.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 SAMPLE = 20_000
-LEXICON = 5_000
 SHORTEST, LONGEST = 4, 12
 BINS = 400
 
@@ -100,54 +101,75 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def _features(batches):
-    """Counts of beginnings of words by label: how many documents have them."""
-    counts: dict[str, list[int]] = {}
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words = set(fold(text.as_py()).split())
-            for f in {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + " " for w in words if len(w) < SHORTEST}:
-                counts.setdefault(f, [0, 0])[toxic] += 1
-    names = list(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[n][1] for n in names], pa.int64()), pa.array([counts[n][0] for n in names], pa.int64())], ["f", "pos", "neg"])
+def _beginnings(text: str) -> set[str]:
+    """The beginnings of a text's words, and its short words, whole."""
+    words = set(fold(text).split())
+    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + " " for w in words if len(w) < SHORTEST}
 
 
 def _family(words: list[str]) -> int:
     """The smallest hash of two words in a row: near copies mostly share it, other texts hardly ever."""
-    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)), default=0)
+    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)), default=zlib.crc32(" ".join(words).encode()))
+
+
+def _with_family(batches):
+    for batch in batches:
+        families = [_family(fold(text.as_py()).split()) for text in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(families, pa.int64())], ["_text", "_toxic", "_family"])
 
 
-def _entries(sample: DataFrame, top: dict[str, tuple[int, int]], least: int) -> list[str]:
-    """The features to keep. Near copies count as one document, so that words that only come along with harsh ones in a family
-    of copies are not taken. First those that each are in ``least`` documents of label 1 without any taken before; then
-    those that are in twice as many and are no beginning or continuation of one taken. What comes to the driver is
-    bounded by SAMPLE and LEXICON."""
+def _having(rows: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """(f, families): the beginnings of words of ``rows`` (_text, _family), and the families that have each. With ``most`` only
+    its beginnings, each of which needs no more families than one above its number."""
+    shared = rows.sparkSession.sparkContext.broadcast(most)
 
-    def present(batches):
+    def found(batches):
+        most, having = shared.value, {}
         for batch in batches:
-            found, families = [], []
-            for text in batch.column(0):
-                words = fold(text.as_py()).split()
-                own = {w[:k] for w in words for k in range(SHORTEST, LONGEST + 1)} | {w + " " for w in words}
-                found.append(sorted(own & top.keys()))
-                families.append(_family(words))
-            yield pa.RecordBatch.from_arrays([pa.array(families, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["family", "found"])
-
-    toxic = sample.where("_toxic = 1").select("_text").distinct()
-    having: dict[str, set[int]] = {}
-    for row in toxic.mapInArrow(present, "family long, found array<string>").collect():
-        for f in row["found"]:
-            having.setdefault(f, set()).add(row["family"])
-    left, chosen = {f: d for f, d in having.items() if len(d) >= least}, []
-    while left:
-        f = max(left, key=lambda x: (len(left[x]) - 10 * top[x][1], len(x), x))
-        covered = left.pop(f)
+            for text, family in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                own = _beginnings(text.as_py())
+                for f in own if most is None else own & most.keys():
+                    families = having.setdefault(f, set())
+                    if most is None or len(families) <= most[f]:
+                        families.add(family)
+        yield pa.RecordBatch.from_arrays([pa.array(having, pa.string()), pa.array(map(list, having.values()), pa.list_(pa.int64()))], ["f", "families"])
+
+    parts = rows.select("_text", "_family").mapInArrow(found, "f string, families array<long>")
+    return parts.groupBy("f").agg(F.array_distinct(F.flatten(F.collect_list("families"))).alias("families"))
+
+
+def _entries(having: dict[str, set[int]], neg: dict[str, int], least: int) -> list[str]:
+    """The features to keep, of those that families of label 1 have (``having``) and how many of label 0 (``neg``). First those
+    that each are in ``least`` families of label 1 without any taken before, so that words that only come along with harsh
+    ones are not taken; then those that are in twice as many and are no beginning or continuation of one taken."""
+    by_family: dict[int, list[str]] = {}
+    for f, families in having.items():
+        for d in families:
+            by_family.setdefault(d, []).append(f)
+    names = sorted(having, key=lambda x: (len(x), x), reverse=True)
+    left, chosen = {f: len(having[f]) for f in names}, []
+    heap = [(10 * neg[f] - left[f], i) for i, f in enumerate(names)]
+    heapq.heapify(heap)
+    while heap:
+        key, i = heapq.heappop(heap)
+        f = names[i]
+        if left[f] < least:
+            continue
+        if key != 10 * neg[f] - left[f]:
+            heapq.heappush(heap, (10 * neg[f] - left[f], i))
+            continue
         chosen.append(f)
-        left = {g: rest for g, docs in left.items() if len(rest := docs - covered) >= least}
+        for d in having[f]:
+            for g in by_family.pop(d, ()):
+                left[g] -= 1
+    starts = {f[:k] for f in chosen for k in range(1, len(f) + 1)}
+    taken = set(chosen)
     for f in sorted(having, key=lambda x: (-len(having[x]), -len(x), x)):
-        strong = len(having[f]) >= max(2 * least, top[f][0] / 2) and top[f][1] * 50 <= top[f][0]
-        if strong and not any(f.startswith(c) or c.startswith(f) for c in chosen):
+        own = {f[:k] for k in range(1, len(f) + 1)}
+        if len(having[f]) >= 2 * least and neg[f] * 50 <= len(having[f]) and f not in starts and not own & taken:
             chosen.append(f)
+            taken.add(f)
+            starts |= own
     return chosen
 
 
@@ -158,37 +180,37 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = labelled.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_toxic")).orderBy(F.xxhash64(F.col("_i")), "_i").limit(SAMPLE)
     chosen = chosen.dropDuplicates(["_i"])
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_i"]).where(F.col(text_col).isNotNull())
-    sample = stored(rows.select(F.col(text_col).alias("_text"), "_toxic"), "toxicity-sample")
-    n_pos, n_all = sample.agg(F.sum("_toxic"), F.count(F.lit(1))).first()
-    if not n_pos or n_pos == n_all:
+    texts = rows.select(F.col(text_col).alias("_text"), "_toxic")
+    sample = stored(texts.mapInArrow(_with_family, "_text string, _toxic int, _family long"), "toxicity-sample")
+    n_pos, n_neg = sample.agg(*(F.count_distinct(F.when(F.col("_toxic") == k, F.col("_family"))) for k in (1, 0))).first()
+    if not n_pos or not n_neg:
         return Lexicon({}, 1.0, 1.0)
-    base = n_pos / n_all
-    n_neg = n_all - n_pos
-    counts = sample.mapInArrow(_features, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # Of a feature's documents at most one in ten has label 0, and so many with label 1 don't come by chance.
+    base = n_pos / (n_pos + n_neg)
+    # Of a feature's families at most one in eleven has label 0, and so many with label 1 don't come by chance.
     least = max(3, math.ceil(math.log(1e-4) / math.log(base)), n_pos // 500)
-    clean = counts.where((F.col("pos") >= least) & (F.col("neg") * 10 <= F.col("pos")))
-    top = {r["f"]: (r["pos"], r["neg"]) for r in clean.orderBy(F.desc("pos"), "neg", F.length("f"), "f").limit(LEXICON).collect()}
+    pos = stored(_having(sample.where("_toxic = 1")).where(F.size("families") >= least), "toxicity-features")
+    most = {r["f"]: r["n"] // 10 for r in pos.select("f", F.size("families").alias("n")).collect()}
+    others = _having(sample.where("_toxic = 0"), most).select("f", F.size("families").alias("neg"))
+    clean = pos.join(others, "f", "left").withColumn("neg", F.coalesce("neg", F.lit(0))).where(F.col("neg") * 10 <= F.size("families"))
+    having, neg = {}, {}
+    for r in clean.collect():
+        having[r["f"]], neg[r["f"]] = set(r["families"]), r["neg"]
     weights: dict[str, float] = {}
-    for f in _entries(sample, top, least):
-        pos, neg = top[f]
-        weights[" " + f] = math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
+    for f in _entries(having, neg, least):
+        weights[" " + f] = math.log((len(having[f]) + 0.5) / (n_pos + 1)) - math.log((neg[f] + 0.5) / (n_neg + 1))
     lexicon = Lexicon(weights, 1.0, 1.0)
 
     def binned(batches):
-        tally: dict[tuple[int, int], int] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                k = (min(BINS - 1, int(_scale(lexicon.density(text.as_py())) * 40)), toxic)
-                tally[k] = tally.get(k, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.int32()), pa.array([k[1] for k in tally], pa.int32()), pa.array(list(tally.values()), pa.int64())], ["bin", "toxic", "n"])
+            bins = [min(BINS - 1, int(_scale(lexicon.density(text.as_py())) * 40)) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), batch.column(1), batch.column(2)], ["bin", "toxic", "family"])
 
-    bins = sample.mapInArrow(binned, "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
+    bins = sample.mapInArrow(binned, "bin int, toxic int, family long").distinct().groupBy("bin", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     pos, neg = [0] * BINS, [0] * BINS
     for r in bins:
         (pos if r["toxic"] else neg)[r["bin"]] += r["n"]
     # The curve's middle is between the bins that part the labels with the fewest errors.
-    errors, best = n_neg, []
+    errors, best = sum(neg), []
     for k in range(BINS + 1):  # errors when bins from k on are called toxic
         best.append(errors)
         if k < BINS:

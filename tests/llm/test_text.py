@@ -54,6 +54,20 @@ def test_toxicity_on_held_out_rows(judged):
     assert clean.columns == docs.columns and clean.count() == sum(1 - r["predicted"] for r in got.values())
 
 
+def test_toxicity_beside_many_copies_of_a_long_text(spark, judged):
+    rows, docs, labels = judged
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("bcfghjkpquvwxyz") for _ in range(9)) for _ in range(1500))
+    copies = spark.range(20_000, 20_450).select("id")
+    docs = docs.union(copies.selectExpr("id", f"'{long}'"))
+    labels = labels.union(copies.selectExpr("id", "1", "1"))
+    lexicon = learn(docs, labels)
+    assert all(any(fold(w).startswith(e) for e in lexicon.weights) for w in ("grumblor", "Gr0mpfish", "vexatian"))
+    got = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs, lexicon).where(held_out("doc_id")).collect()}
+    out = [(got[i], t) for i, _, t in rows if i in got]
+    assert sum(a == b for a, b in out) >= 0.97 * len(out)
+
+
 def test_toxicity_without_labels(judged, odd, empty):
     _, docs, labels = judged
     lexicon = learn(docs, labels.limit(0))
