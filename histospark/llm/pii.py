@@ -18,11 +18,26 @@ ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31 are 319 * 229.
 FIRST_DAY, DAY_FACTORS = "1900-01-01", (319, 229)
 
+#: Lengths of IBANs by country. Of these countries the length says where an IBAN ends and the next word begins.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form() -> str:
+    """An IBAN of its country's length; else whatever looks like one."""
+    of = lambda n: f"(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    known = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}{of(n)}(?![\\p{{L}}\\p{{N}}])" for n, c in IBAN_LENGTHS.items())
+    return r"(?<![\p{L}\p{N}])(?=[A-Z]{2}[0-9]{2})(?:" + known + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))"
+
+
 #: Fixed forms of what is looked for.
 FORMS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "hex": r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": _iban_form(),
     "ymd": r"(?<![0-9])(?:19|20)[0-9]{2}([-/.])[01][0-9]\{n}[0-3][0-9](?![0-9])",
     "dmy": r"(?<![0-9])[0-3][0-9]([-/.])[01][0-9]\{n}(?:19|20)[0-9]{2}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",

@@ -125,6 +125,23 @@ def test_pseudonyms_without_two_digits_in_a_row(spark):
     assert out[6:] == texts[6:] and [r["text"] for r in pseudonymise(df, "k").orderBy("doc_id").collect()] == out
 
 
+def test_ibans_end_where_their_country_says(spark):
+    ibans = ["BE68 5390 0754 7034", "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "BE68539007547034", "NO93 8601 1117 947"]
+    after = [" EUR", " 17", " ABCD", " PAID NOW", " 2020-02-03", " 4111 1111 1111 1111", ""]
+    texts = [f"to {i}{a}" for i in ibans for a in after]
+    out = replaced(spark, texts)
+    for k, iban in enumerate(ibans):
+        ends = {o[: 3 + len(iban)] for o in out[k * len(after) : (k + 1) * len(after)]}
+        assert len(ends) == 1 and (new := ends.pop()[3:]) != iban and [c == " " for c in new] == [c == " " for c in iban]
+        compact = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+    tails = [o[3 + len(i) :] for o, i in zip(out, [i for i in ibans for _ in after], strict=True)]
+    for k in range(0, len(tails), len(after)):
+        assert tails[k : k + 4] == after[:4] and tails[k + 6] == "" and tails[k + 4] != after[4] and tails[k + 5] != after[5]
+    wrong = ["BE68 5390 0754 7035 EUR", "ES9121000418450200051333 EUR"]
+    assert replaced(spark, wrong) == wrong
+
+
 def test_pseudonyms_of_odd_rows(docs, rows, odd, empty):
     same = pseudonymise(docs, "k")
     assert same.columns == docs.columns and {r["doc_id"]: r["text"] for r in same.collect()} == dict(rows)
