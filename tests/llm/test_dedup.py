@@ -36,8 +36,31 @@ def test_colliding_hashes_are_told_apart(spark):
 
 def test_dedup_of_odd_rows(odd, empty):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in ed.exact_dedup(odd).collect())
-    assert got == [(False, 2, 2, 3, True), (False, 5, 5, 3, True), (False, 5, 5, 3, True), (False, 7, 2, 3, False), (True, 0, 2, 3, False), (True, 0, 5, 3, False)]
+    assert got == [(False, 2, 2, 3, True), (False, 5, 5, 3, False), (False, 5, 5, 3, True), (False, 7, 2, 3, False), (True, 0, 2, 3, False), (True, 0, 5, 3, False)]
     assert ed.exact_dedup(empty).count() == 0 and ed.kept_documents(empty).count() == 0
+    assert sorted((r["doc_id"], r["text"]) for r in ed.kept_documents(odd).collect()) == [(2, None), (5, "same text")]
+
+
+@pytest.fixture(scope="session")
+def again(spark):
+    """Rows that repeat ids: with the same text, with other texts, without an id; one column has the name of the numbers."""
+    long = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, long), (1, long), (2, long), (2, "b"), (3, "b"), (3, "c c"), (3, "c  c"), (4, None), (4, ""), (None, "d"), (None, "d"), (None, long), (6, "e" * 300), (6, "e" * 300 + "f")]
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _row long"), rows
+
+
+def test_one_row_of_each_text_stays(again):
+    docs, rows = again
+    fold = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    texts = {fold(t) for _, t in rows}
+    kept = ed.kept_documents(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], fold(r["text"])) for r in kept.collect()]
+    want = [(min((i for i, u in rows if fold(u) == t and i is not None), default=None), t) for t in texts]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    out = ed.exact_dedup(docs).collect()
+    assert len(out) == len(rows) and sum(r["kept"] for r in out) == len(texts) == len({r["text_sha256"] for r in out if r["kept"]})
+    assert all(r["doc_id"] == r["keep_id"] for r in out if r["kept"])
 
 
 def canonical(t):
