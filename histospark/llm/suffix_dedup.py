@@ -3,10 +3,14 @@
 A byte goes if a string of ``length`` bytes that covers it also starts earlier, in a document with a smaller id or further to the
 front of the same one. Strings of that length (windows) meet as follows. The smallest hash among a window's seeds, short strings within it,
 is its anchor; it depends on the window's bytes alone, so equal windows have equal anchors. Neighbouring windows with one anchor make
-a stretch. Stretches are grouped by anchor hash; of stretches with equal bytes all but the first go whole. Where an
-anchor has several different stretches, the first of each kind brings its bytes, and in each bucket of such stretches a suffix array
-with common-prefix lengths is scanned with a stack: every interval of the common-prefix tree that is long enough and whose
+a stretch. Stretches are grouped by anchor hash, those of a block of texts before they are shuffled; of stretches with equal bytes all but the
+first go whole. Where an anchor has several different stretches, the first of each kind brings its bytes, and in each bucket of such stretches a
+suffix array with common-prefix lengths is scanned with a stack: every interval of the common-prefix tree that is long enough and whose
 occurrences differ in the byte before them is a maximal repeat, and all its occurrences but the first are covered.
+
+An anchor with more than SPLIT different stretches is split by longer contexts: a stretch is cut by where its windows have the anchor, into
+halves, quarters and so on. The windows of one part share more bytes than the anchor, so that parts with other bytes there can't have a
+window in common, and of parts with equal bytes all but the first go whole. A part of one window is equal to all that it can meet, so this ends.
 """
 
 from __future__ import annotations
@@ -18,20 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import FILTER_BITS
+from .exact_dedup import FILTER_BITS, SALTS
 from .shingles import _mixed, _powers, cuts
-from .storage import stored
+from .storage import numbered, stored
 
 LENGTH = 100
 SEED = 24
 BLOCK_BYTES = 1 << 20
 BUCKET_STRETCHES = 120_000
 BUCKET_BYTES = 2 << 20
+MERGED_BYTES = 16 << 20
+SPLIT = 2_000
 POSITION_BITS = 22
 
 _rng = np.random.default_rng(20240502)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-STRETCH = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i8")])
+#: ``row`` tells documents with the same id apart; ``at`` is where the anchor is in the stretch.
+STRETCH = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("size", "<u2"), ("at", "<u2")])
+SPAN = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("size", "<i8")])
+PLACE = ["doc", "row", "start"]
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -55,8 +64,8 @@ def _pieces(texts: list[bytes], length: int):
             at += BLOCK_BYTES
 
 
-def stretches(docs: list[int], texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> np.ndarray:
-    """The stretches (STRETCH) of some documents."""
+def stretches(docs: list[tuple[int, int]], texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> np.ndarray:
+    """The stretches (STRETCH) of some documents, which are told by id and row."""
     out, batch, size = [np.zeros(0, STRETCH)], [], 0
     for piece in _pieces(texts, length):
         if batch and size + len(piece[2]) > BLOCK_BYTES:
@@ -69,7 +78,7 @@ def stretches(docs: list[int], texts: list[bytes], length: int = LENGTH, seed: i
     return np.concatenate(out)
 
 
-def _stretches(batch, docs: list[int], length: int, seed: int) -> np.ndarray:
+def _stretches(batch, docs: list[tuple[int, int]], length: int, seed: int) -> np.ndarray:
     data = np.frombuffer(b"".join(p[2] for p in batch), np.uint8)
     sizes = np.array([len(p[2]) for p in batch])
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -89,47 +98,96 @@ def _stretches(batch, docs: list[int], length: int, seed: int) -> np.ndarray:
     out["anchor"] = hashes[at[first]]
     out["content"] = _mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
     own = owner[first]
-    out["doc"] = np.array([docs[p[0]] for p in batch], np.int64)[own]
+    for k, name in enumerate(("doc", "row")):
+        out[name] = np.array([docs[p[0]][k] for p in batch], np.int64)[own]
     out["start"] = a - base[own] + np.array([p[1] for p in batch], np.int64)[own]
     out["size"] = b - a
+    out["at"] = at[first] - a
+    return out
+
+
+def _blob(rows: np.ndarray) -> bytes:
+    """Column by column, so that ids and starts compress."""
+    return b"".join(rows[c].tobytes() for c in rows.dtype.names)
+
+
+def _unblob(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
+    out = [np.zeros(0, dtype)]
+    for blob in blobs:
+        n = len(blob) // dtype.itemsize
+        part, at = np.zeros(n, dtype), 0
+        for c in dtype.names:
+            part[c] = np.frombuffer(blob, dtype[c], n, at)
+            at += n * dtype[c].itemsize
+        out.append(part)
+    return np.concatenate(out)
+
+
+def united(spans: np.ndarray) -> np.ndarray:
+    """SPAN rows of which those of one document that overlap or touch are one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["start"], spans["row"], spans["doc"]))]
+    own = np.cumsum(np.concatenate([[False], (spans["doc"][1:] != spans["doc"][:-1]) | (spans["row"][1:] != spans["row"][:-1])]))
+    # Each document's places are moved beyond those of the one before, so that one running maximum serves all.
+    move = own * (int((spans["start"] + spans["size"]).max()) + 2)
+    start = spans["start"] + move
+    reach = np.maximum.accumulate(start + spans["size"])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    out = spans[first]
+    out["size"] = reach[np.append(first[1:], len(spans)) - 1] - start[first]
+    return out
+
+
+def _spans(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), SPAN)
+    for c in SPAN.names:
+        out[c] = rows[c]
     return out
 
 
 def _packed(found: np.ndarray, buckets: int):
-    """Rows (bucket, stretches) of a block."""
+    """Rows (bucket, stretches, done) of a block. Of stretches with equal anchor and bytes only the first goes to its bucket; the others, as spans,
+    to any."""
+    place, counts = np.unique(found["content"], return_inverse=True, return_counts=True)[1:]
+    some = np.flatnonzero(counts[place] > 1)
+    some = some[np.lexsort([found[c][some] for c in ("start", "row", "doc", "anchor", "content")])]
+    own = found[some]
+    later = np.concatenate([[False], (own["content"][1:] == own["content"][:-1]) & (own["anchor"][1:] == own["anchor"][:-1])])[: len(own)]
+    keep = np.ones(len(found), bool)
+    keep[some[later]] = False
+    done, found = united(_spans(own[later])), found[keep]
     part = (found["anchor"] // np.uint64(-(-(1 << 64) // buckets))).astype(np.int64)
     order = np.argsort(part, kind="stable")
     found, part = found[order], part[order]
-    own = cuts(part)
-    # Column by column, so that ids and starts compress.
-    blobs = [b"".join(found[c][i:j].tobytes() for c in STRETCH.names) for i, j in own]
-    return pa.RecordBatch.from_arrays([pa.array([int(part[i]) for i, _ in own], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "stretches"])
+    out = [(int(part[i]), _blob(found[i:j]), b"") for i, j in cuts(part)]
+    if len(done):
+        out.append((int(done["doc"][0] % buckets), b"", _blob(done)))
+    columns = list(zip(*out, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "stretches", "done"])
 
 
-def _unpacked(blobs: list[bytes]) -> np.ndarray:
-    out = []
-    for blob in blobs:
-        n = len(blob) // STRETCH.itemsize
-        part = np.zeros(n, STRETCH)
-        for k, c in enumerate(STRETCH.names):
-            part[c] = np.frombuffer(blob, STRETCH[c], n, 8 * n * k)
-        out.append(part)
-    return np.concatenate(out)
+MET = "doc long, row long, start long, size long, at int, anchor long, whole boolean"
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """(doc, start, size, anchor, whole) of a bucket's stretches: whole ones have the bytes of an earlier one; of the others, those whose anchor
-    has stretches of several kinds."""
-    found = _unpacked(table.column("stretches").to_pylist())
-    found = found[np.lexsort((found["start"], found["doc"], found["content"], found["anchor"]))]
+    """Rows of MET of a bucket's stretches: whole ones have the bytes of an earlier one; of the others, those whose anchor has stretches of several
+    kinds."""
+    found = _unblob(table.column("stretches").to_pylist(), STRETCH)
+    found = found[np.lexsort([found[c] for c in ("start", "row", "doc", "content", "anchor")])]
     anchor, content = found["anchor"], found["content"]
-    other = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    first = other | np.concatenate([[True], content[1:] != content[:-1]])
+    other = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(found)]
+    first = other | np.concatenate([[True], content[1:] != content[:-1]])[: len(found)]
     group = np.cumsum(other) - 1
-    several = (np.bincount(group, first) > 1)[group]
-    chosen = ~first | several
-    out, whole = found[chosen], ~first[chosen]
-    return pa.table({"doc": out["doc"], "start": out["start"], "size": out["size"], "anchor": out["anchor"].view(np.int64), "whole": whole})
+    several = (np.bincount(group, first) > 1)[group] if len(found) else first
+    done = np.concatenate([_unblob(table.column("done").to_pylist(), SPAN), united(_spans(found[~first]))])
+    open_ = found[first & several]
+    n, m = len(done), len(open_)
+    columns = {c: np.concatenate([done[c], open_[c].astype(np.int64)]) for c in SPAN.names}
+    columns["at"] = np.concatenate([np.zeros(n, np.int32), open_["at"].astype(np.int32)])
+    columns["anchor"] = np.concatenate([np.zeros(n, np.int64), open_["anchor"].view(np.int64)])
+    columns["whole"] = np.arange(n + m) < n
+    return pa.table(columns)
 
 
 def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +246,8 @@ def maximal_intervals(common: np.ndarray, left: np.ndarray, least: int):
             stack.append([lengths[i], begin, carried[0]])
 
 
-def repeats(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH):
-    """Maximal repeats of ``length`` or more within and across the contents, which are at (doc, start): (size, docs, starts) of all occurrences of
+def repeats(contents: list[bytes], length: int = LENGTH):
+    """Maximal repeats of ``length`` or more within and across the contents: (size, numbers of contents, offsets in them) of all occurrences of
     each, inner ones first. Sizes are counted to 255 bytes."""
     sizes = np.array([len(c) for c in contents])
     data = np.frombuffer(b"\xff".join(contents) + b"\xff", np.uint8)
@@ -207,34 +265,89 @@ def repeats(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, length:
     begin = np.flatnonzero(common < length)
     stop = np.append(begin[1:], len(order))
     same = (np.minimum.reduceat(left, begin) == np.maximum.reduceat(left, begin)) & (left[begin] >= 0) if len(begin) else np.zeros(0, bool)
-    where = starts[owner] + order - base[owner]
+    where = order - base[owner]
     for i, j in zip(begin[(stop - begin > 1) & ~same].tolist(), stop[(stop - begin > 1) & ~same].tolist(), strict=True):
         for size, a, b in maximal_intervals(np.concatenate([[0], common[i + 1 : j]]), left[i:j], length):
-            yield size, docs[owner[i + a : i + b + 1]], where[i + a : i + b + 1]
+            yield size, owner[i + a : i + b + 1], where[i + a : i + b + 1]
 
 
 def _covered(table: pa.Table) -> pa.Table:
-    """(doc, start, size): all occurrences of a bucket's repeats but the first of each. An inner interval's occurrences have their longest repeat from
+    """SPAN rows: all occurrences of a bucket's repeats but the first of each. An inner interval's occurrences have their longest repeat from
     it and are left out of the outer ones, but for the first."""
-    contents = table.column("content").to_pylist()
-    docs, starts = table.column("doc").to_numpy(), table.column("start").to_numpy()
+    table = table.sort_by([(c, "ascending") for c in PLACE])
+    doc, row, start = (table.column(c).to_numpy() for c in PLACE)
+    # Contents are in the order of documents by now, and those of one document have this number in common.
+    rank = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))
     out = [np.zeros((0, 3), np.int64)]
-    for size, d, s in repeats(contents, docs, starts):
-        first = np.lexsort((s, d))[0]
-        keep = np.arange(len(d)) != first
-        out.append(np.stack([d[keep], s[keep], np.full(len(d) - 1, size)], 1))
+    for size, owner, offset in repeats(table.column("content").to_pylist()):
+        at = start[owner] + offset
+        keep = np.arange(len(owner)) != np.lexsort((at, rank[owner]))[0]
+        out.append(np.stack([owner[keep], at[keep], np.full(len(owner) - 1, size)], 1))
     rows = np.concatenate(out)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    new = []
-    ends = rows[:, 1] + rows[:, 2]
-    for a, b in cuts(rows[:, 0]):  # overlapping ones of a document become one
-        reach = np.maximum.accumulate(ends[a:b])
-        ends[a:b] = reach
-        new.append(np.concatenate([[True], rows[a + 1 : b, 1] > reach[:-1]]))
-    first = np.concatenate([np.zeros(0, bool), *new])
-    at = np.flatnonzero(first)
-    last = np.append(at[1:], len(rows))[: len(at)] - 1
-    return pa.table({"doc": rows[at, 0], "start": rows[at, 1], "size": ends[last] - rows[at, 1]})
+    spans = np.zeros(len(rows), SPAN)
+    spans["doc"], spans["row"], spans["start"], spans["size"] = doc[rows[:, 0]], row[rows[:, 0]], rows[:, 1], rows[:, 2]
+    spans = united(spans)
+    return pa.table({c: spans[c] for c in SPAN.names})
+
+
+OPEN = "key long, doc long, row long, start long, at int, content binary"
+
+
+def parts(content: bytes, at: int, level: int, length: int = LENGTH, seed: int = SEED):
+    """(key, first window, anchor's place, content) of the parts of a stretch at ``level``: windows whose offsets of the anchor are in one cell of 128 >> level
+    offsets. The key is a hash of the bytes that all windows of the cell have."""
+    width = 128 >> level
+    least = at - (len(content) - length)
+    for cell in range(at // width, least // width - 1, -1):
+        low, high = cell * width, min(cell * width + width - 1, length - seed)
+        first, last = at - min(at, high), at - max(least, low)
+        shared = content[at - low : at + length - high]
+        key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=bytes([level, cell])).digest(), "little", signed=True)
+        yield key, first, at - first, content[first : last + length]
+
+
+def _split(rows: DataFrame, level: int) -> DataFrame:
+    def cut(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for _, doc, row, start, at, content in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                out += [(key, doc, row, start + first, place, part) for key, first, place, part in parts(content, at, level)]
+            yield _open_batch(out)
+
+    return rows.mapInArrow(cut, OPEN)
+
+
+def _open_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", *PLACE, "at", "content"])
+
+
+def _collapsed(rows: DataFrame) -> DataFrame:
+    """``rows`` (OPEN) with whole: true for all but the first of those with equal key and content. Salted, so that many equal ones are spread."""
+    place = F.struct(*PLACE)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*PLACE), F.lit(SALTS)).cast("int"))
+    partial = salted.groupBy("key", "content", "_salt").agg(F.min(place).alias("_least"))
+    total = partial.groupBy("key", "content").agg(F.min("_least").alias("_first"))
+    spread = partial.join(total, ["key", "content"]).select("key", "content", "_salt", "_first")
+    return salted.join(spread, ["key", "content", "_salt"]).select("key", *PLACE, "at", "content", (place != F.col("_first")).alias("whole"))
+
+
+def _bounded(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` (OPEN) with every key that more than SPLIT of them have split by longer contexts, and the spans that go whole by that."""
+    few, spans = [], []
+    for level in range(1, 9):
+        hot = stored(rows.groupBy("key").count().where(f"count > {SPLIT}").select("key"), "hot-anchors")
+        if hot.isEmpty():
+            break
+        few.append(rows.join(hot, "key", "left_anti").select(*[c.split()[0] for c in OPEN.split(", ")]))
+        cut = stored(_split(rows.join(hot, "key", "left_semi").select(few[0].columns), level), "split-anchors")
+        marked = stored(_collapsed(cut), "split-kinds")
+        spans.append(marked.where("whole").select(*PLACE, F.octet_length("content").cast("long").alias("size")))
+        rows = marked.where("NOT whole").drop("whole")
+    for part in few:
+        rows = rows.unionByName(part)
+    return rows, spans
 
 
 def _maybe(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -246,47 +359,53 @@ def _maybe(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     own = place("_id")
     byte = f"cast(conv(hex(substring(_map, cast({own} % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
     marked = docs.withColumn("_part", F.expr(f"{own} div 32768")).join(maps, "_part", "left")
-    return marked.select("_id", "_text", F.expr(f"coalesce(shiftright({byte}, cast({own} % 8 as int)) & 1, 0) = 1").alias("_maybe"))
+    return marked.select("_id", "_row", "_text", F.expr(f"coalesce(shiftright({byte}, cast({own} % 8 as int)) & 1, 0) = 1").alias("_maybe"))
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(doc, start, size) of spans to remove from ``rows`` (_id, _text), overlapping ones included."""
+    """(doc, row, start, size) of spans to remove from ``rows`` (_id, _row, _text), overlapping ones included."""
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(8, -(-size // (35 * BUCKET_STRETCHES)))
 
     def cut(batches):
+        docs, texts, held, found, size = [], [], 0, [], 0
         for batch in batches:
-            docs, texts, held = [], [], 0
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(k)
+            for k, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                docs.append((k, row))
                 texts.append(text.as_py().encode())
                 held += len(texts[-1])
                 if held > 4 * BLOCK_BYTES:
-                    yield _packed(stretches(docs, texts), buckets)
-                    docs, texts, held = [], [], 0
-            if docs:
-                yield _packed(stretches(docs, texts), buckets)
-
-    met = rows.mapInArrow(cut, "bucket int, stretches binary").groupBy("bucket").applyInArrow(_met, "doc long, start long, size long, anchor long, whole boolean")
+                    found.append(stretches(docs, texts))
+                    docs, texts, size, held = [], [], size + held, 0
+                if size > MERGED_BYTES:
+                    yield _packed(np.concatenate(found), buckets)
+                    found, size = [], 0
+        found.append(stretches(docs, texts))
+        yield _packed(np.concatenate(found), buckets)
+
+    met = rows.mapInArrow(cut, "bucket int, stretches binary, done binary").groupBy("bucket").applyInArrow(_met, MET)
     met = stored(met, "stretches")
     open_ = met.where("NOT whole")
-    wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "anchor")).alias("wanted"))
+    wanted = open_.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "size", "at", "anchor")).alias("wanted"))
     likely = _maybe(rows, open_.select("doc")).where("_maybe")
     held = open_.agg(F.sum("size")).first()[0] or 0
-    parts = max(8, -(-held // BUCKET_BYTES))
+    n_buckets = max(8, -(-held // BUCKET_BYTES))
 
     def contents(batches):
         for batch in batches:
             out: list[tuple] = []
-            for k, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for k, row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 raw = text.as_py().encode()
-                out += [(s["anchor"] % parts, k, s["start"], raw[s["start"] : s["start"] + s["size"]]) for s in spans]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "doc", "start", "content"])
+                out += [(s["anchor"], k, row, s["start"], s["at"], raw[s["start"] : s["start"] + s["size"]]) for s in spans]
+            yield _open_batch(out)
 
-    texts = likely.join(wanted, likely["_id"] == wanted["doc"]).select("_id", "_text", "wanted")
-    covered = texts.mapInArrow(contents, "bucket int, doc long, start long, content binary").groupBy("bucket").applyInArrow(_covered, "doc long, start long, size long")
-    return stored(met.where("whole").select("doc", "start", "size").unionByName(covered), "covered")
+    texts = likely.join(wanted, (likely["_id"] == wanted["doc"]) & (likely["_row"] == wanted["row"])).select("_id", "_row", "_text", "wanted")
+    few, spans = _bounded(stored(texts.mapInArrow(contents, OPEN), "open-stretches"))
+    dealt = few.select(F.pmod("key", F.lit(n_buckets)).cast("int").alias("bucket"), *PLACE, "content")
+    covered = dealt.groupBy("bucket").applyInArrow(_covered, "doc long, row long, start long, size long")
+    for more in (met.where("whole").select(*PLACE, "size"), *spans):
+        covered = covered.unionByName(more)
+    return stored(covered, "covered")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -303,16 +422,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contents: bool = False) -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``contents`` also kept (binary) and spans (array of start, end).
 
-    Null texts are empty. Documents without an id are in no order and lose nothing. Ids are taken to be unique; of rows that repeat an id,
-    all lose what any of them would. An empty table gives an empty result.
+    Null texts are empty. Documents without an id are in no order and lose nothing. Rows that repeat an id are documents of their own, one after
+    the other in the order of a hash of their texts, so that the first occurrence of every string stays in one of them. Very long texts are
+    worked on in pieces of BLOCK_BYTES, which overlap by a window. An empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    spans = repeated_spans(rows.where("_id IS NOT NULL"))
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
-    marked = _maybe(rows, spans.select("doc"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    known, row = numbered(narrow.where("_id IS NOT NULL"), "_id", "_text")
+    known = known.select("_id", F.col("_row") if row else F.lit(0).cast("long").alias("_row"), "_text")
+    spans = repeated_spans(known)
+    by_doc = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
+    marked = _maybe(known, spans.select("doc"))
     some = marked.where("_maybe")
-    touched = some.join(by_doc, some["_id"] == by_doc["doc"], "left").select("_id", "_text", "_spans")
-    rest = marked.where("NOT _maybe").select("_id", "_text", F.lit(None).cast("array<struct<start:long,size:long>>").alias("_spans"))
+    touched = some.join(by_doc, (some["_id"] == by_doc["doc"]) & (some["_row"] == by_doc["row"]), "left").select("_id", "_text", "_spans")
+    none = F.lit(None).cast("array<struct<start:long,size:long>>").alias("_spans")
+    rest = marked.where("NOT _maybe").select("_id", "_text", none).unionByName(narrow.where("_id IS NULL").select("_id", "_text", none))
 
     def kept(batches):
         for batch in batches:

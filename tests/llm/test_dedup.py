@@ -1,6 +1,7 @@
 """Exact copies, fingerprints, near copies, repeated strings: against brute force."""
 
 import hashlib
+import itertools
 import re
 import unicodedata
 
@@ -180,6 +181,54 @@ def test_repeats_of_odd_rows(odd, empty):
     assert remove_repeats(odd).count() == 6 and remove_repeats(empty).count() == 0
 
 
+def test_rows_that_repeat_an_id_lose_no_text(again, spark):
+    docs, rows = again
+    got = [r for r in remove_repeats(docs, contents=True).collect()]
+    known = sorted((i, t or "") for i, t in rows if i is not None)
+    assert len(got) == len(rows) and all(r["n_removed"] == 0 for r in got if r["doc_id"] is None)
+    assert sum(rows[0][1].encode() in bytes(r["kept"]) for r in got if r["doc_id"]) == 1
+    for i in {i for i, _ in known}:  # any order of the rows of an id may be taken
+        texts = [t for j, t in known if j == i]
+        before = [(j, t) for j, t in known if j < i]
+        own = sorted(tuple(r)[1:5] for r in got if r["doc_id"] == i)
+        found = []
+        for order in itertools.permutations(texts):
+            named = [(k, t) for k, (_, t) in enumerate(before)] + [(len(before) + k, t) for k, t in enumerate(order)]
+            out = brute_removal(named)
+            found.append(sorted(out[len(before) + k] for k in range(len(order))))
+        assert own in found
+    t = "".join(chr(97 + k * k % 23) + chr(97 + k % 19) for k in range(150))
+    copies = spark.createDataFrame([(1, t), (1, t), (2, "u"), (3, t)], "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in remove_repeats(copies).collect()) == [(1, 300, 0), (1, 300, 300), (2, 1, 0), (3, 300, 300)]
+
+
+@pytest.mark.parametrize("split", [3, 40])
+def test_hot_anchors_are_split(spark, monkeypatch, split):
+    from histospark.llm import suffix_dedup as sd
+
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 115, n)))
+    passage = letters(260)
+    texts = [letters(rng.integers(0, 90)) + passage[rng.integers(0, 60) : 200 + rng.integers(0, 60)] + letters(rng.integers(0, 90)) for _ in range(90)]
+    texts += texts[:10] + ["ab" * 300, "abcab" * 90, "b" * 700, letters(99), letters(100)]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(sd, "SPLIT", split)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: tuple(r)[1:] for r in sd.remove_repeats(docs).collect()} == brute_removal(rows)
+
+
+def test_parts_of_a_stretch_hold_all_windows():
+    from histospark.llm import suffix_dedup as sd
+
+    rng = np.random.default_rng(3)
+    content = bytes(rng.integers(97, 123, 150).astype(np.uint8))
+    for level in range(1, 8):
+        held = sorted(first + k for _, first, _, part in sd.parts(content, 70, level) for k in range(len(part) - 99))
+        assert held == list(range(51)) and all(content[first : first + len(part)] == part and first + at == 70 for _, first, at, part in sd.parts(content, 70, level))
+        if level == 7:
+            assert all(len(part) == 100 for _, _, _, part in sd.parts(content, 70, level))
+
+
 def test_suffix_arrays_and_intervals():
     rng = np.random.default_rng(8)
     data = rng.integers(97, 99, 300).astype(np.uint8)
@@ -191,7 +240,7 @@ def test_suffix_arrays_and_intervals():
     for a, b, n in zip(order[:-1], order[1:], common[1:], strict=True):
         assert padded[a : a + n] == padded[b : b + n] and (n == 255 or padded[a + n] != padded[b + n])
     texts = [bytes(rng.integers(97, 100, 40).astype(np.uint8)) for _ in range(6)]
-    got = {(size, tuple(sorted(zip(d.tolist(), s.tolist(), strict=True)))) for size, d, s in repeats(texts, np.arange(6), np.zeros(6, np.int64), 3)}
+    got = {(size, tuple(sorted(zip(d.tolist(), s.tolist(), strict=True)))) for size, d, s in repeats(texts, 3)}
     want = set()
     for text in texts:
         for i in range(40):
@@ -219,9 +268,10 @@ def test_stretches_part_all_windows(monkeypatch):
     rng = np.random.default_rng(11)
     texts = [bytes(rng.integers(97, 110, n).astype(np.uint8)) for n in (0, 99, 100, 101, 3000, 5, 1234)]
     texts[6] = texts[4][500:1500] + texts[6]
-    whole = sd.stretches(list(range(7)), texts)
+    ids = [(i, 0) for i in range(7)]
+    whole = sd.stretches(ids, texts)
     monkeypatch.setattr(sd, "BLOCK_BYTES", 400)
-    for found in (whole, sd.stretches(list(range(7)), texts)):
+    for found in (whole, sd.stretches(ids, texts)):
         for i, t in enumerate(texts):
             own = found[found["doc"] == i]
             starts = sorted(s for r in own for s in range(r["start"], r["start"] + r["size"] - 99))
