@@ -1,17 +1,19 @@
 """Format-preserving pseudonyms for personal numbers and dates, in SQL functions only.
 
-A value is found by one pattern, told apart by its form, and validated: check digits of cards (Luhn) and IBANs (mod 97),
-ranges of addresses, social security numbers and dates. A valid one becomes a vector of small integers, each with its
-own modulus: digits mod 10, letters mod 26, octets mod 256, the three fields of a social security number, the day count
-of a date as two factors. A keyed Feistel network permutes the vectors of a format among themselves: in odd rounds each
+A value is found by one pattern, of which every text is searched, told apart by its form, and validated: check digits of cards (Luhn) and
+IBANs (mod 97), ranges of addresses, social security numbers and dates, digit counts of telephone numbers. A valid one becomes a vector of small
+integers, each with its own modulus: digits mod 10, letters mod 26, octets mod 256, groups of long addresses mod 65536, the three fields of a
+social security number, the day count of a date as two factors. A keyed Feistel network permutes the vectors of a format among themselves: in odd rounds each
 element of the left half moves by a keyed hash of the right half, in even rounds the other way round. Check digits are
 then worked out anew and the value written as it was written before. So each pseudonym is a valid value of the same
-format, different values stay different, and equal values are equal in all documents, whichever separators they have.
+format, different values stay different, and equal values are equal in all documents, whichever separators they have. IPv6 addresses are written
+out in eight groups, so that all ways of writing one stay linked. A telephone number with its country code and one without are two values, but for
+those of ten digits in groups of three, three and four.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -33,16 +35,22 @@ def _iban_form() -> str:
     return r"(?<![\p{L}\p{N}])(?=[A-Z]{2}[0-9]{2})(?:" + known + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))"
 
 
+#: Telephone country codes of one and of two digits; all others have three.
+SHORT_CODES = "1 7", "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+
 #: Fixed forms of what is looked for.
 FORMS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "hex": r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])",
-    "iban": _iban_form(),
+    "iban": _iban_form() + r"|(?<![\p{L}\p{N}])[a-z]{2}[0-9]{2}[a-z0-9]{11,30}(?![\p{L}\p{N}])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![\p{L}\p{N}:])",
     "ymd": r"(?<![0-9])(?:19|20)[0-9]{2}([-/.])[01][0-9]\{n}[0-3][0-9](?![0-9])",
     "dmy": r"(?<![0-9])[0-3][0-9]([-/.])[01][0-9]\{n}(?:19|20)[0-9]{2}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![\p{N}+])(?:\+?[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "abroad": r"(?<![\p{L}\p{N}+])\+[1-9](?:[ ./()-]{0,2}[0-9]){7,14}(?![0-9])",
+    "trunk": r"(?<![\p{L}\p{N}+./-])0[1-9][0-9]{1,4}(?:/|[ ][/-]?[ ]?|-)[0-9]{5,9}(?![0-9]|[./-][0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 
@@ -51,10 +59,6 @@ def _form(kind: str, group: int = 1) -> str:
     return FORMS[kind].replace("{n}", str(group))
 
 
-#: What each form has in it: only texts with one of these are searched. Two digits in a row are in all forms but those of addresses
-#: (email, ip) and of hex values.
-GATE = "@|[0-9][.]?[0-9]|[0-9a-f]{32}"
-
 #: ymd and dmy each have one group, which the second sees as group 2.
 PATTERN = "|".join(_form(k, 2 if k == "dmy" else 1) for k in FORMS)
 
@@ -67,12 +71,27 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+KEY_MARK = "pseudonym-key:"
+
+
+def _key_literal(key: str) -> str:
+    """The key as it stands in the plan: in hexadecimal behind a mark, by which ``hide_key`` knows it."""
+    return KEY_MARK + key.encode().hex()
+
+
+def hide_key(spark: SparkSession) -> None:
+    """Have Spark redact keys where it prints plans, unless the session has a pattern of its own for that."""
+    name = "spark.sql.redaction.string.regex"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, KEY_MARK + "[0-9a-f]*")
+
+
 def _feistel(kind: str, key: str, vals: str, mods: str) -> str:
     """SQL for the permuted vector of ``vals``, an array of int with moduli ``mods``; a vector of one element has an empty half
     and moves by a constant."""
     half = "(size(fa) div 2)"
     other = f"if(fr % 2 = 1, slice(fa, {half} + 1, size(fa)), slice(fa, 1, {half}))"
-    moved = f"cast(conv(substr(sha2(concat_ws('|', {_text(key)}, '{kind}', fr, fj, array_join(transform({other}, fx -> cast(fx as string)), ',')), 256), 1, 12), 16, 10) as bigint)"
+    moved = f"cast(conv(substr(sha2(concat_ws('|', '{_key_literal(key)}', '{kind}', fr, fj, array_join(transform({other}, fx -> cast(fx as string)), ',')), 256), 1, 12), 16, 10) as bigint)"
     step = f"transform(fa, (fv, fj) -> if((fj < {half}) = (fr % 2 = 1), cast(pmod(fv + {moved}, element_at(fm, cast(fj as int) + 1)) as int), fv))"
     return _let(mods, "fm", f"aggregate(sequence(1, {ROUNDS}), {vals}, (fa, fr) -> {step})")
 
@@ -109,7 +128,7 @@ def _luhn(digits: str) -> str:
 def _mod97(compact: str) -> str:
     """Of an IBAN's letters and digits, already in the order of the check."""
     digit = "if(mc between '0' and '9', ascii(mc) - 48, ascii(mc) - 55)"
-    return f"aggregate(split({compact}, ''), 0, (ms, mc) -> (ms * if(mc between '0' and '9', 10, 100) + {digit}) % 97)"
+    return f"aggregate(split(upper({compact}), ''), 0, (ms, mc) -> (ms * if(mc between '0' and '9', 10, 100) + {digit}) % 97)"
 
 
 def _card(key: str) -> str:
@@ -143,6 +162,35 @@ def _ip(key: str) -> str:
     return _let("transform(split(m, '[.]'), px -> cast(px as int))", "pf", f"if(forall(pf, px -> px < 256), {made}, m)")
 
 
+def _ip6(key: str) -> str:
+    """All eight groups move; the pseudonym has them all, in capital letters if the value had some."""
+    groups = "if(size(qh) = 2, concat(filter(split(qh[0], ':'), qg -> qg != ''), array_repeat('0', 8 - size(filter(split(m, ':'), qg -> qg != ''))), filter(split(qh[1], ':'), qg -> qg != '')), split(m, ':'))"
+    moved = _feistel("ip6", key, "transform(qf, qg -> cast(conv(qg, 16, 10) as int))", "array_repeat(65536, 8)")
+    made = f"array_join(transform({moved}, qv -> if(m rlike '[A-F]', conv(cast(qv as string), 10, 16), lower(conv(cast(qv as string), 10, 16)))), ':')"
+    return _let("split(m, '::', -1)", "qh", _let(groups, "qf", f"if(size(qf) = 8, {made}, m)"))
+
+
+def _code_length(digits: str) -> str:
+    """How many digits of a number written with its country code are that code."""
+    one, two = (", ".join(codes.split()) for codes in SHORT_CODES)
+    return f"case when {digits}[0] in ({one}) then 1 when {digits}[0] * 10 + {digits}[1] in ({two}) then 2 else 3 end"
+
+
+def _abroad(key: str) -> str:
+    """The digits after the country code move; those of ten digits as they do without the code."""
+    own = "slice(ad, an + 1, size(ad) - an)"
+    like = f"if(size(ad) - an = 10, {_feistel('phone', key, own, 'array_repeat(10, 10)')}, {_feistel('abroad', key, own, 'array_repeat(10, size(ad) - an)')})"
+    made = _refill("m", f"concat(slice(ad, 1, an), {like})")
+    return _let(_digits("m"), "ad", f"if(size(ad) between 8 and 15, {_let(_code_length('ad'), 'an', made)}, m)")
+
+
+def _trunk(key: str) -> str:
+    """The digits after the first zero move."""
+    own = "slice(td, 2, size(td) - 1)"
+    made = _refill("m", f"concat(array(0), {_feistel('trunk', key, own, 'array_repeat(10, size(td) - 1)')})")
+    return _let(_digits("m"), "td", f"if(size(td) between 9 and 13, {made}, m)")
+
+
 def _phone(key: str) -> str:
     """The last ten digits move; a country code stays."""
     own = "slice(pd, size(pd) - 9, 10)"
@@ -169,7 +217,7 @@ def pseudonym_sql(key: str) -> str:
     email = f"concat({_classes('substring_index(m, ' + _text('@') + ', 1)', 'email', key)}, '@', substring_index(m, '@', -1))"
     cases = [
         ("email", email), ("hex", _classes("m", "hex", key, hexadecimal=True)), ("ymd", _date(key, True)), ("dmy", _date(key, False)),
-        ("ssn", _ssn(key)), ("ip", _ip(key)), ("card", _card(key)), ("phone", _phone(key)), ("iban", _iban(key)),
+        ("ssn", _ssn(key)), ("ip", _ip(key)), ("ip6", _ip6(key)), ("card", _card(key)), ("phone", _phone(key)), ("abroad", _abroad(key)), ("trunk", _trunk(key)), ("iban", _iban(key)),
     ]
     return "case " + " ".join(f"when {is_a(k)} then {sql}" for k, sql in cases) + " else m end"
 
@@ -180,16 +228,16 @@ def pseudonymised(text: str, key: str) -> tuple[Column, Column]:
     parts = f"split({text}, {_text(PATTERN)}, -1)"
     made = f"transform({found}, m -> {pseudonym_sql(key)})"
     joined = _let(parts, "tp", f"concat(tp[0], array_join(zip_with({made}, slice(tp, 2, size(tp)), (n, p) -> concat(n, p)), ''))")
-    some = f"{text} rlike '{GATE}'"
-    return F.expr(f"if({some}, {joined}, {text})"), F.expr(f"if({some}, {found}, cast(array() as array<string>))")
+    return F.expr(f"if({text} rlike {_text(PATTERN)}, {joined}, {text})"), F.expr(found)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its texts pseudonymised under ``key``; all columns stay, in their order.
 
-    A null text stays null, an empty one empty. Values that don't pass validation stay as they are. Texts without
-    what every form needs (GATE) are not searched. No shuffle.
+    A null text stays null, an empty one empty, and so does an empty table. Values that don't pass validation stay as they are. Rows that repeat an
+    id are rows like any other. Every text is searched whole; a very long one is one row's work. No shuffle.
     """
+    hide_key(docs.sparkSession)
     name = f"`{text_col}`"
     made, _ = pseudonymised(name, key)
     return docs.withColumn(text_col, made)
@@ -198,11 +246,13 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 def pii_report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, text (pseudonymised), n_found (values of a known form), n_replaced (those that validated) per document.
 
-    Null texts stay null, with 0 found. Rows that repeat an id are rows like any other.
+    Null texts stay null, with 0 found. Rows that repeat an id are rows like any other. An empty table gives an empty result, and every text is
+    searched whole, however long. Other columns are not read.
     """
+    hide_key(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = f"regexp_extract_all(_text, {_text(PATTERN)}, 0)"
-    some = rows.withColumn("_found", F.expr(f"if(_text rlike '{GATE}', {found}, cast(array() as array<string>))"))
+    some = rows.withColumn("_found", F.expr(found))
     made = some.withColumn("_made", F.expr(f"transform(_found, m -> {pseudonym_sql(key)})"))
     parts = _let(f"split(_text, {_text(PATTERN)}, -1)", "tp", "concat(tp[0], array_join(zip_with(_made, slice(tp, 2, size(tp)), (n, p) -> concat(n, p)), ''))")
     changed = "size(filter(arrays_zip(_found, _made), z -> z._found != z._made))"

@@ -1,7 +1,9 @@
 """Toxicity, pseudonyms, WARC, and the pipeline."""
 
 import base64
+import datetime
 import hashlib
+import ipaddress
 import random
 import re
 import zlib
@@ -10,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from histospark.llm import queries
-from histospark.llm.pii import pii_report, pseudonymise
+from histospark.llm.pii import ROUNDS, SHORT_CODES, pii_report, pseudonymise
 from histospark.llm.toxicity import Lexicon, fold, held_out, learn, score_toxicity, without_toxic
 from histospark.llm.warc import LoserTree, archive_and_index, parse_records, url_key
 
@@ -142,6 +144,110 @@ def test_ibans_end_where_their_country_says(spark):
     assert replaced(spark, wrong) == wrong
 
 
+def permuted(key, kind, values, moduli):
+    """The keyed permutation of a vector, step by step."""
+    out, half = list(values), len(values) // 2
+    for r in range(1, ROUNDS + 1):
+        moving = range(half) if r % 2 else range(half, len(out))
+        other = ",".join(map(str, out[half:] if r % 2 else out[:half]))
+        new = list(out)
+        for j in moving:
+            digest = hashlib.sha256("|".join([f"pseudonym-key:{key.encode().hex()}", kind, str(r), str(j), other]).encode()).hexdigest()
+            new[j] = (out[j] + int(digest[:12], 16)) % moduli[j]
+        out = new
+    return out
+
+
+def refilled(value, digits):
+    digits = iter(digits)
+    return "".join(str(next(digits)) if c.isdigit() else c for c in value)
+
+
+def mod97(compact):
+    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97
+
+
+def pseudonym(key, kind, value):
+    """What should stand in the place of a valid value."""
+    digits = [int(c) for c in value if c.isdigit()]
+    if kind == "card":
+        payload = [digits[0], *permuted(key, kind, digits[1:-1], [10] * (len(digits) - 2))]
+        return refilled(value, next([*payload, c] for c in range(10) if luhn("".join(map(str, [*payload, c])))))
+    if kind == "phone":
+        return refilled(value, digits[:-10] + permuted(key, kind, digits[-10:], [10] * 10))
+    if kind == "abroad":
+        n = next(k for k in (1, 2, 3) if "".join(map(str, digits[:k])) in " ".join(SHORT_CODES).split() or k == 3)
+        return refilled(value, digits[:n] + permuted(key, "phone" if len(digits) - n == 10 else kind, digits[n:], [10] * len(digits[n:])))
+    if kind == "trunk":
+        return refilled(value, [0, *permuted(key, kind, digits[1:], [10] * (len(digits) - 1))])
+    if kind == "ssn":
+        area, group, serial = map(int, value.split("-"))
+        area, group, serial = permuted(key, kind, [area - 1 - (area > 666), group - 1, serial - 1], [898, 99, 9999])
+        return f"{area + 1 + (area + 1 >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
+    if kind == "ip":
+        return ".".join(map(str, permuted(key, kind, list(map(int, value.split("."))), [256] * 4)))
+    if kind == "ip6":
+        out = ":".join(f"{v:x}" for v in permuted(key, kind, [int(g, 16) for g in ipaddress.ip_address(value).exploded.split(":")], [65536] * 8))
+        return out.upper() if re.search("[A-F]", value) else out
+    if kind == "date":
+        sep = re.search(r"[-/.]", value)[0]
+        parts = list(map(int, value.split(sep)))
+        first = parts[0] > 999
+        days = (datetime.date(*(parts if first else parts[::-1])) - datetime.date(1900, 1, 1)).days
+        a, b = permuted(key, kind, divmod(days, 229), [319, 229])
+        new = datetime.date(1900, 1, 1) + datetime.timedelta(days=a * 229 + b)
+        return sep.join([f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"][:: 1 if first else -1])
+    if kind == "hex":
+        return "".join(f"{v:x}" for v in permuted(key, kind, [int(c, 16) for c in value], [16] * len(value)))
+
+    def classes(body):
+        base = [next((b for b in "0aA" if b <= c <= {"0": "9", "a": "z", "A": "Z"}[b]), c) for c in body]
+        moduli = [{"0": 10, "a": 26, "A": 26}.get(b, 1) if c.isascii() and c.isalnum() else 1 for b, c in zip(base, body, strict=True)]
+        moved = permuted(key, kind, [ord(c) - ord(b) for b, c in zip(base, body, strict=True)], moduli)
+        return "".join(chr(ord(b) + v) for b, v in zip(base, moved, strict=True))
+
+    if kind == "email":
+        name, _, host = value.rpartition("@")
+        return classes(name) + "@" + host
+    compact = value.replace(" ", "")
+    body = classes(compact[4:])
+    new = iter(compact[:2] + f"{98 - mod97(compact[:2] + '00' + body):02d}" + body)
+    return "".join(c if c == " " else next(new) for c in value)
+
+
+VALUES = [
+    ("card", "4111111111111111"), ("card", "5500 0000 0000 0004"), ("card", "3782-822463-10005"), ("phone", "743-555-3824"), ("phone", "+1 (743) 555-3824"), ("phone", "(743) 555-3824"),
+    ("abroad", "+49 30 12345678"), ("abroad", "+4915112345678"), ("abroad", "+353 1 234 5678"), ("abroad", "+44 (0)20 7946 0958"), ("trunk", "0171-2345678"), ("trunk", "030/1234567"), ("trunk", "0171 2345678"),
+    ("ssn", "123-45-6789"), ("ssn", "899-99-9999"), ("ip", "10.0.0.1"), ("ip", "8.8.8.8"), ("ip6", "2001:db8:0:0:1:0:0:1"), ("ip6", "2001:db8::1:0:0:1"), ("ip6", "FE80::1"), ("ip6", "fe80::"),
+    ("date", "12.03.1987"), ("date", "1987-03-12"), ("date", "31/12/2099"), ("date", "1900/01/01"), ("hex", "a1b2c3d4" * 4), ("hex", "0123456789abcdef" * 4),
+    ("email", "jo.b7@x.example.org"), ("email", "Jürgen_K+x@example.com"), ("iban", "DE89370400440532013000"), ("iban", "BE68 5390 0754 7034"), ("iban", "de89370400440532013000"), ("iban", "MT84MALT011000012345MTLCAST001S"),
+]
+
+
+def test_pseudonyms_against_a_plain_permutation(spark):
+    around = ["{}", "see {}, then", "a {} and 42 b@c.de", "\n{}\n", "x" * 40_000 + " {}."]
+    rows = [(a, kind, value) for kind, value in VALUES for a in around]
+    out = replaced(spark, [a.format(value) for a, _, value in rows], "some key")
+    other = replaced(spark, ["b@c.de"], "some key")[0]
+    for (a, kind, value), got in zip(rows, out, strict=True):
+        want = a.replace("b@c.de", other).format(pseudonym("some key", kind, value))
+        assert got == want, (kind, value, a[-30:])
+    firsts = [o for o, (a, *_) in zip(out, rows, strict=True) if a == "{}"]
+    place = {v: k for k, (_, v) in enumerate(VALUES)}
+    assert firsts[place["2001:db8:0:0:1:0:0:1"]] == firsts[place["2001:db8::1:0:0:1"]] and firsts[place["DE89370400440532013000"]].lower() == firsts[place["de89370400440532013000"]]
+
+
+def test_values_that_are_none_stay(spark):
+    texts = ["4111111111111112", "std::vector<a::b> x", "12:30:45 add::", "+12 34", "01 23", "0.12345678", "version 0171", "256.1.1.1", "666-12-3456", "30.02.2001", "de89370400440532013001", "1:2:3:4:5:6:7", "a1b2c3"]
+    assert replaced(spark, texts) == texts
+
+
+def test_keys_are_not_in_printed_plans(spark):
+    df = pii_report(spark.createDataFrame([(1, "10.0.0.1")], "doc_id long, text string"), "top secret key")
+    plan = df._jdf.queryExecution().toString()
+    assert b"top secret key".hex() not in plan and "top secret key" not in plan
+
+
 def test_pseudonyms_of_odd_rows(docs, rows, odd, empty):
     same = pseudonymise(docs, "k")
     assert same.columns == docs.columns and {r["doc_id"]: r["text"] for r in same.collect()} == dict(rows)
