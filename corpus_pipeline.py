@@ -9,7 +9,7 @@ from histospark.llm.exact_dedup import kept_documents
 from histospark.llm.jaccard_join import jaccard_components
 from histospark.llm.packing import pack
 from histospark.llm.pii import pseudonymise
-from histospark.llm.queries import PSEUDONYM_KEY, WORD_BPE
+from histospark.llm.queries import WORD_BPE, pseudonym_key
 from histospark.llm.storage import stored
 from histospark.llm.toxicity import learn, without_toxic
 
@@ -33,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers and dates replaced within the texts; n_chars follows."""
-    made = pseudonymise(docs, PSEUDONYM_KEY)
+    made = pseudonymise(docs, pseudonym_key(spark))
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return made.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), length).otherwise(F.col("n_chars")))
 
