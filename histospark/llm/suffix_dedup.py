@@ -95,7 +95,8 @@ def _stretches(batch, docs: list[tuple[int, int]], length: int, seed: int) -> np
     last = np.append(first[1:], len(start)) - 1
     a, b = start[first], start[last] + length
     out = np.zeros(len(first), STRETCH)
-    out["anchor"] = hashes[at[first]]
+    # Mixed once more: a smallest hash is a small number, and buckets are ranges of anchors.
+    out["anchor"] = _mixed(hashes[at[first]])
     out["content"] = _mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
     own = owner[first]
     for k, name in enumerate(("doc", "row")):
