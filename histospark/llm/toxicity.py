@@ -4,9 +4,11 @@ Texts are folded: compatibility forms, accents, look-alike letters and digits th
 automaton finds the lexicon's entries, which are beginnings of words; what an exception phrase covers does not count. The
 weights found, divided by the number of words, give the score through a logistic curve.
 
-The lexicon is learned: beginnings of words that labelled documents of label 1 have, and others hardly ever do. Training
-reads at most SAMPLE labelled rows, chosen by a hash of the id; that bound keeps the broadcast of their ids small. Of these
-rows copies and near copies count as one document.
+The lexicon is learned: beginnings of words, and whole words, that labelled documents of label 1 have, or have often for their length, and
+others hardly ever do. An entry's weight is the logarithm of how much more of their words it makes up in the former. So are the
+exception phrases: an entry's word with the word before or after it, where documents of label 0 have that and others hardly ever do. Training
+reads at most SAMPLE labelled documents, chosen by a hash of the id; what is collected or broadcast on the way is of these alone. Of
+them copies and near copies count as one document.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +29,15 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 SAMPLE = 20_000
+#: Lengths of the beginnings that are features; shorter and longer words are features whole.
 SHORTEST, LONGEST = 4, 12
-BINS = 400
+#: A document has a feature often if that is one in so many of its words or more, and twice at least.
+RATE = 200
+#: Near copies share a pair of smallest hashes in one of BANDS bands.
+BANDS = 6
+OFTEN = "\t"
+#: So many words are added to the length of every text, so that one word of a very short one is not all of it.
+SMOOTH = 20
 
 #: Letters of other scripts by the Latin letters that they look like, and signs by the letters that they stand for.
 LOOKALIKES = {
@@ -34,9 +45,6 @@ LOOKALIKES = {
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "ε": "e", "η": "n", "ω": "w", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 SIGNS = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "l"}
-#: Phrases in which a harsh word is none.
-EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "clownfish", "circus clown", "idiot proof", "loser bracket", "oxymoron")
-
 _WORD = re.compile(r"[^\W_]+")
 _TABLE = {ord(k): v.replace("i", "l") for k, v in (LOOKALIKES | SIGNS | {"i": "i"}).items()}
 
@@ -56,7 +64,7 @@ class Lexicon:
     weights: dict[str, float]
     slope: float
     middle: float
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
@@ -86,7 +94,7 @@ class Lexicon:
         hits = list(self.automaton.iter(folded))
         spared = [(end - n, end) for end, (n, w) in hits if w is None]
         total = sum(w for end, (n, w) in hits if w is not None and not any(a <= end - n and end <= b for a, b in spared))
-        return total / (folded.count(" ") + 20)
+        return total / (folded.count(" ") + SMOOTH)
 
     def score(self, density: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * (_scale(density) - self.middle)))))
@@ -101,33 +109,78 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def _beginnings(text: str) -> set[str]:
-    """The beginnings of a text's words, and its short words, whole."""
-    words = set(fold(text).split())
-    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + " " for w in words if len(w) < SHORTEST}
+def _parts(word: str) -> list[str]:
+    """The beginnings of a word that are features; of a short or long one also the whole word, with the space after it."""
+    return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)] + [word + " "] * (not SHORTEST <= len(word) <= LONGEST)
+
+
+def _features(text: str) -> set[str]:
+    """The features of a text, and once more with OFTEN behind them those that it has often."""
+    words = fold(text).split()
+    counts: Counter[str] = Counter()
+    for word, n in Counter(words).items():
+        for f in _parts(word):
+            counts[f] += n
+    return set(counts) | {f + OFTEN for f, n in counts.items() if n > 1 and n * RATE >= len(words) + SMOOTH}
 
 
-def _family(words: list[str]) -> int:
-    """The smallest hash of two words in a row: near copies mostly share it, other texts hardly ever."""
-    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)), default=zlib.crc32(" ".join(words).encode()))
+_MIX = np.random.default_rng(20240503).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _with_family(batches):
+def _bands(text: str) -> list[int]:
+    """For each band a hash of the two smallest hashes, by two orders, of the text's pairs of words."""
+    words = fold(text).split()
+    pairs = [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)] or [zlib.crc32(" ".join(words).encode())]
+    least = ((np.array(pairs, np.uint64)[:, None] + np.uint64(1)) * _MIX >> np.uint64(24)).min(axis=0).tolist()
+    return [zlib.crc32(f"{k} {least[2 * k]} {least[2 * k + 1]}".encode()) << 8 | k for k in range(BANDS)]
+
+
+def _with_bands(batches):
     for batch in batches:
-        families = [_family(fold(text.as_py()).split()) for text in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(families, pa.int64())], ["_text", "_toxic", "_family"])
+        bands = [_bands(text.as_py()) for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bands, pa.list_(pa.int64()))], ["_i", "_text", "_toxic", "_bands"])
+
+
+def _families(rows: list[tuple[int, list[int]]]) -> dict[int, int]:
+    """The smallest number of those that shared bands connect, by number."""
+    parent = {i: i for i, _ in rows}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    first: dict[int, int] = {}
+    for i, bands in rows:
+        for band in bands:
+            a, b = root(i), root(first.setdefault(band, i))
+            parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in parent}
+
+
+def _with_family(rows: DataFrame) -> DataFrame:
+    """``rows`` (_i, _text, _toxic) as (_text, _toxic, _family). Bands of the rows, SAMPLE at most, are brought to the driver."""
+    banded = stored(rows.mapInArrow(_with_bands, "_i long, _text string, _toxic int, _bands array<long>"), "toxicity-bands")
+    shared = rows.sparkSession.sparkContext.broadcast(_families(sorted((r["_i"], r["_bands"]) for r in banded.select("_i", "_bands").collect())))
+
+    def named(batches):
+        for batch in batches:
+            own = [shared.value[i] for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.int64())], ["_text", "_toxic", "_family"])
+
+    return stored(banded.select("_i", "_text", "_toxic").mapInArrow(named, "_text string, _toxic int, _family long"), "toxicity-sample")
 
 
 def _having(rows: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
-    """(f, families): the beginnings of words of ``rows`` (_text, _family), and the families that have each. With ``most`` only
-    its beginnings, each of which needs no more families than one above its number."""
+    """(f, families): the features of ``rows`` (_text, _family), and the families that have each. With ``most`` only its
+    features, each of which needs no more families than one above its number."""
     shared = rows.sparkSession.sparkContext.broadcast(most)
 
     def found(batches):
         most, having = shared.value, {}
         for batch in batches:
             for text, family in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = _beginnings(text.as_py())
+                own = _features(text.as_py())
                 for f in own if most is None else own & most.keys():
                     families = having.setdefault(f, set())
                     if most is None or len(families) <= most[f]:
@@ -138,27 +191,28 @@ def _having(rows: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
     return parts.groupBy("f").agg(F.array_distinct(F.flatten(F.collect_list("families"))).alias("families"))
 
 
-def _entries(having: dict[str, set[int]], neg: dict[str, int], least: int) -> list[str]:
-    """The features to keep, of those that families of label 1 have (``having``) and how many of label 0 (``neg``). First those
-    that each are in ``least`` families of label 1 without any taken before, so that words that only come along with harsh
-    ones are not taken; then those that are in twice as many and are no beginning or continuation of one taken."""
+def _entries(having: dict[str, set[int]], neg: dict[str, int], least: int, ratio: float) -> list[str]:
+    """The features to keep, of those that families of label 1 have (``having``) and how many of label 0 (``neg``; ``ratio`` is how many families of
+    label 1 there are for one of label 0). First those that each are in ``least`` families of label 1 without any taken before, so that
+    words that only come along with harsh ones are not taken; then those that are in twice as many, hardly ever in label 0, and no beginning
+    or continuation of one taken."""
     by_family: dict[int, list[str]] = {}
     for f, families in having.items():
         for d in families:
             by_family.setdefault(d, []).append(f)
     names = sorted(having, key=lambda x: (len(x), x), reverse=True)
     left, chosen = {f: len(having[f]) for f in names}, []
-    heap = [(10 * neg[f] - left[f], i) for i, f in enumerate(names)]
+    heap = [(10 * ratio * neg[f] - left[f], i) for i, f in enumerate(names)]
     heapq.heapify(heap)
     while heap:
         key, i = heapq.heappop(heap)
         f = names[i]
         if left[f] < least:
             continue
-        if key != 10 * neg[f] - left[f]:
-            heapq.heappush(heap, (10 * neg[f] - left[f], i))
+        if key != 10 * ratio * neg[f] - left[f]:
+            heapq.heappush(heap, (10 * ratio * neg[f] - left[f], i))
             continue
-        chosen.append(f)
+        chosen.append(f.rstrip(OFTEN))
         for d in having[f]:
             for g in by_family.pop(d, ()):
                 left[g] -= 1
@@ -166,65 +220,108 @@ def _entries(having: dict[str, set[int]], neg: dict[str, int], least: int) -> li
     taken = set(chosen)
     for f in sorted(having, key=lambda x: (-len(having[x]), -len(x), x)):
         own = {f[:k] for k in range(1, len(f) + 1)}
-        if len(having[f]) >= 2 * least and neg[f] * 50 <= len(having[f]) and f not in starts and not own & taken:
+        if len(having[f]) >= 2 * least and neg[f] * 50 <= len(having[f]) and not f.endswith(OFTEN) and f not in starts and not own & taken:
             chosen.append(f)
             taken.add(f)
             starts |= own
-    return chosen
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
-    """Learn a lexicon from the labelled documents that are not held out. Rows without id, text or label are passed over; with
-    no label 1 among the rest, the lexicon is empty and every score is below one half."""
-    labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = labelled.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_toxic")).orderBy(F.xxhash64(F.col("_i")), "_i").limit(SAMPLE)
-    chosen = chosen.dropDuplicates(["_i"])
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_i"]).where(F.col(text_col).isNotNull())
-    texts = rows.select(F.col(text_col).alias("_text"), "_toxic")
-    sample = stored(texts.mapInArrow(_with_family, "_text string, _toxic int, _family long"), "toxicity-sample")
+    return list(dict.fromkeys(chosen))
+
+
+def _weights(sample: DataFrame, entries: list[str], n_pos: int, n_neg: int) -> dict[str, float]:
+    """The logarithm of the entries' mean share of the words in families of label 1 over that in families of label 0."""
+    plain = Lexicon(dict.fromkeys((" " + e for e in entries), 1.0), 1.0, 1.0)
+
+    def shares(batches):
+        for batch in batches:
+            out = []
+            for text, toxic, family in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                folded = fold(text.as_py())
+                found = Counter(folded[end - n + 2 : end + 1] for end, (n, _) in plain.automaton.iter(folded))
+                out += [(e, toxic, family, n / (folded.count(" ") + SMOOTH)) for e, n in found.items()] or [("", toxic, family, 0.0)]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["e", "toxic", "family", "share"])
+
+    by_family = sample.mapInArrow(shares, "e string, toxic int, family long, share double").groupBy("e", "toxic", "family").agg(F.max("share").alias("share"))
+    total = {(r["e"], r["toxic"]): r["share"] for r in by_family.groupBy("e", "toxic").agg(F.sum("share").alias("share")).collect()}
+    mean = lambda e, k, n: total.get((e, k), 0.0) / n + 1e-5
+    return {" " + e: math.log(mean(e, 1, n_pos) / mean(e, 0, n_neg)) for e in entries}
+
+
+def _exceptions(sample: DataFrame, lexicon: Lexicon, least: int) -> tuple[str, ...]:
+    """Phrases of two words, one of which has an entry, that three times ``least`` families of label 0 or more have, and ten times as many as of label 1."""
+    entries = tuple(e[1:] for e in lexicon.weights)
+
+    def found(batches):
+        for batch in batches:
+            phrases: set[tuple] = set()
+            for text, toxic, family in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                words = ["", *fold(text.as_py()).split(), ""]
+                for k, word in enumerate(words):
+                    if word and (word + " ").startswith(entries):
+                        phrases |= {(f"{a} {b}", toxic, family) for a, b in ((words[k - 1], word), (word, words[k + 1])) if a and b}
+            columns = list(zip(*phrases, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["phrase", "toxic", "family"])
+
+    if not entries:
+        return ()
+    seen = sample.mapInArrow(found, "phrase string, toxic int, family long").distinct()
+    counts = seen.groupBy("phrase").agg(F.count_if(F.col("toxic") == 0).alias("neg"), F.count_if(F.col("toxic") == 1).alias("pos"))
+    return tuple(sorted(r["phrase"] for r in counts.where(f"neg >= {3 * least} AND pos * 10 <= neg").select("phrase").collect()))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Learn a lexicon from the labelled documents that are not held out; phrases of ``exceptions`` count as no harsh words besides those learned.
+
+    Rows without id, text or label are passed over, and with no label 1 or no label 0 among the rest (as with empty tables), the lexicon is empty
+    and every score is below one half. An id with several labels has the largest, an id with several texts the smallest of them. Ties are
+    broken by the entries' own order, so that the result depends on the rows alone. Texts count whole; other columns are not read.
+    """
+    labelled = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_toxic")).where("_toxic IS NOT NULL AND _i IS NOT NULL")
+    chosen = labelled.where(~held_out("_i")).groupBy("_i").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_i"), "_i").limit(SAMPLE)
+    texts = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+    rows = texts.join(F.broadcast(chosen), texts["_d"] == chosen["_i"]).groupBy("_i").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
+    sample = _with_family(rows.select(F.col("_i").cast("long").alias("_i"), "_text", "_toxic"))
     n_pos, n_neg = sample.agg(*(F.count_distinct(F.when(F.col("_toxic") == k, F.col("_family"))) for k in (1, 0))).first()
     if not n_pos or not n_neg:
         return Lexicon({}, 1.0, 1.0)
     base = n_pos / (n_pos + n_neg)
-    # Of a feature's families at most one in eleven has label 0, and so many with label 1 don't come by chance.
+    # So many families with label 1 don't come by chance, and a feature is in ten times the share of them or more.
     least = max(3, math.ceil(math.log(1e-4) / math.log(base)), n_pos // 500)
     pos = stored(_having(sample.where("_toxic = 1")).where(F.size("families") >= least), "toxicity-features")
-    most = {r["f"]: r["n"] // 10 for r in pos.select("f", F.size("families").alias("n")).collect()}
-    others = _having(sample.where("_toxic = 0"), most).select("f", F.size("families").alias("neg"))
-    clean = pos.join(others, "f", "left").withColumn("neg", F.coalesce("neg", F.lit(0))).where(F.col("neg") * 10 <= F.size("families"))
-    having, neg = {}, {}
-    for r in clean.collect():
-        having[r["f"]], neg[r["f"]] = set(r["families"]), r["neg"]
-    weights: dict[str, float] = {}
-    for f in _entries(having, neg, least):
-        weights[" " + f] = math.log((len(having[f]) + 0.5) / (n_pos + 1)) - math.log((neg[f] + 0.5) / (n_neg + 1))
-    lexicon = Lexicon(weights, 1.0, 1.0)
+    most = {r["f"]: int(r["n"] * n_neg / (10 * n_pos)) for r in pos.select("f", F.size("families").alias("n")).collect()}
+    others = {r["f"]: r["neg"] for r in _having(sample.where("_toxic = 0"), most).select("f", F.size("families").alias("neg")).collect()}
+    neg = {f: others.get(f, 0) for f, n in most.items() if others.get(f, 0) <= n}
+    having = {r["f"]: set(r["families"]) for r in pos.collect() if r["f"] in neg}
+    weights = {e: w for e, w in _weights(sample, _entries(having, neg, least, n_pos / n_neg), n_pos, n_neg).items() if w > 0}
+    phrases = tuple(exceptions) + _exceptions(sample, Lexicon(weights, 1.0, 1.0), least)
+    lexicon = Lexicon(weights, 1.0, 1.0, phrases)
 
     def binned(batches):
         for batch in batches:
-            bins = [min(BINS - 1, int(_scale(lexicon.density(text.as_py())) * 40)) for text in batch.column(0)]
+            bins = [int(_scale(lexicon.density(text.as_py())) * 40) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), batch.column(1), batch.column(2)], ["bin", "toxic", "family"])
 
     bins = sample.mapInArrow(binned, "bin int, toxic int, family long").distinct().groupBy("bin", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    pos, neg = [0] * BINS, [0] * BINS
+    n_bins = 1 + max(r["bin"] for r in bins)
+    pos, neg = [0] * n_bins, [0] * n_bins
     for r in bins:
         (pos if r["toxic"] else neg)[r["bin"]] += r["n"]
-    # The curve's middle is between the bins that part the labels with the fewest errors.
+    # The curve's middle is between the bins that part the labels with the fewest errors; with several such places, the first run of them.
     errors, best = sum(neg), []
-    for k in range(BINS + 1):  # errors when bins from k on are called toxic
+    for k in range(n_bins + 1):  # errors when bins from k on are called toxic
         best.append(errors)
-        if k < BINS:
+        if k < n_bins:
             errors += pos[k] - neg[k]
-    least_errors = min(best)
-    places = [k for k, e in enumerate(best) if e == least_errors]
-    first = places[0]
-    last = max(k for k in places if all(best[j] == least_errors for j in range(first, k + 1)))
-    return Lexicon(weights, 4.0, (first + last) / 2 / 40)
+    first = best.index(min(best))
+    last = first
+    while last < n_bins and best[last + 1] == best[first]:
+        last += 1
+    return Lexicon(weights, 4.0, (first + last) / 2 / 40, phrases)
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, score, predicted of every whole text; null texts count as empty. No shuffle. Rows that repeat an id are
-    rows like any other."""
+    rows like any other; an empty table gives an empty result. Other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def scored(batches):
@@ -239,7 +336,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The documents of ``docs`` that score below one half, with all their columns; null texts count as empty."""
+    """The documents of ``docs`` that score below one half, with all their columns, whatever their names; null texts count as empty, rows that repeat
+    an id are rows like any other, and an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def clean(batches):
