@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from histospark.llm import exact_dedup as ed
+from histospark.llm import regions as rg
 from histospark.llm.fingerprints import fingerprint_edits, fingerprints, successors
-from histospark.llm.jaccard_join import Region, jaccard_components
+from histospark.llm.jaccard_join import distinct_documents, jaccard_components
+from histospark.llm.regions import Region
 from histospark.llm.shingles import linked, shingle_sets
 from histospark.llm.suffix_dedup import maximal_intervals, merged, remove_repeats, repeats, sliding_min, suffix_array
 
@@ -146,6 +148,112 @@ def test_regions_join_exactly():
         assert [got[i] for i in range(len(unique))] == [want[i] for i in range(len(unique))], trial
 
 
+def families(seed, n_families=5, size=30):
+    """Sets about common ones: near copies, sets that share much without being similar, chains, and single ones."""
+    rng = np.random.default_rng(seed)
+    fresh = iter(range(1000, 10**9))
+    out = []
+    for k in range(n_families):
+        base = [next(fresh) for _ in range(rng.integers(20, 60))]
+        for i in range(size):
+            own = rng.integers(0, len(base) // (2 if k % 2 else 6))
+            out.append([*base[own:], *[next(fresh) for _ in range(own)]])
+            if k == 2 and i:
+                base = base[2:] + [next(fresh), next(fresh)]
+    out += [[next(fresh) for _ in range(rng.integers(1, 30))] for _ in range(size)] + [[7], [7, 8], [7, 8, 9, 10], [7, 8, 9]]
+    return [np.array(s, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in out]
+
+
+def distinct_sets(seed):
+    return [np.array(s, np.uint64) for s in sorted({tuple(np.unique(s).tolist()) for s in families(seed)})]
+
+
+def groups(root_of):
+    out = {}
+    for x, r in root_of.items():
+        out.setdefault(r, set()).add(x)
+    return sorted(sorted(g) for g in out.values())
+
+
+@pytest.mark.parametrize("entries, growth", [(10**9, 4), (900, 10**6), (900, 4), (300, 0)])
+def test_split_regions_join_exactly(spark, monkeypatch, entries, growth):
+    monkeypatch.setattr(rg, "REGION_ENTRIES", entries)
+    monkeypatch.setattr(rg, "GROWTH", growth)
+    monkeypatch.setattr(rg, "DEPTH", 3)
+    monkeypatch.setattr(rg, "PIVOTS", 8)
+    sets = distinct_sets(11)
+    rows = [(k % 2, 10 * k, len(s), 10 * k, True, s.tobytes()) for k, s in enumerate(sets)]
+    found = rg.joined(spark.createDataFrame(rows, rg.MEMBER)).collect()
+    parent = {10 * k: 10 * k for k in range(len(sets))}
+    parent |= {r["set_id"]: r["root"] for r in found}
+    assert len(found) == len({r["set_id"] for r in found})
+    want = {}
+    for half in (0, 1):
+        want |= {10 * k: (half, r) for k, r in brute_components({k: set(s.tolist()) for k, s in enumerate(sets) if k % 2 == half}).items()}
+    assert groups(parent) == groups(want) and max(map(len, groups(want))) > 5
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cells_lose_no_pair(seed):
+    """Of each linked pair one is at home in a cell that has the other."""
+    sets = [set(s.tolist()) for s in distinct_sets(seed)]
+    rng = np.random.default_rng(seed)
+    pivots = rng.choice(len(sets), 12, replace=False)
+    far = np.array([[1 - len(s & sets[p]) / len(s | sets[p]) for p in pivots] for s in sets], np.float32)
+    placed = [rg.cells(f, bool(rng.integers(0, 2))) for f in far]
+    homes = [{c for c, own in p if own} for p in placed]
+    assert all(len(h) <= 1 for h in homes)
+    for x in range(len(sets)):
+        for y in range(x):
+            if (homes[x] or homes[y]) and linked(len(sets[x] & sets[y]), len(sets[x]), len(sets[y])):
+                assert any(c in {d for d, _ in placed[y]} for c in homes[x]) or any(c in {d for d, _ in placed[x]} for c in homes[y])
+
+
+def test_a_shared_core_takes_time_by_number():
+    """Sets that share a core, all similar or none, take time in proportion to their number, not to its square."""
+    import time
+
+    def took(n, own):
+        core = np.arange(300 - own, dtype=np.uint64)
+        region = Region([np.concatenate([core, np.arange(1000 + own * k, 1000 + own * k + own, dtype=np.uint64)]) for k in range(n)])
+        began = time.process_time()
+        assert len(set(region.join())) == (1 if own < 40 else n)
+        return time.process_time() - began
+
+    for own in (18, 60):
+        took(200, own)
+        assert took(8000, own) < 10 * took(2000, own) + 0.5
+
+
+def test_components_of_small_blocks(spark, docs, rows, monkeypatch):
+    from histospark.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "BLOCK_ENTRIES", 600)
+    monkeypatch.setattr(rg, "REGION_ENTRIES", 500)
+    want = brute_components(word_sets(rows))
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()} == want
+
+
+def test_one_document_of_each_group_stays(spark, docs, rows, again, odd, empty):
+    want = brute_components(word_sets(rows))
+    kept = distinct_documents(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    repeated, texts = again
+    got = distinct_documents(repeated)
+    assert got.columns == repeated.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    sets = word_sets(list(enumerate(t for _, t in texts)))
+    roots = brute_components(sets)
+    for root in set(roots.values()):
+        members = [k for k in roots if roots[k] == root]
+        if sets[root]:
+            ids = [texts[k][0] for k in members if texts[k][0] is not None]
+            assert sum(left.count(texts[k]) for k in {texts[k]: k for k in members}.values()) == 1
+            assert any(left.count(texts[k]) for k in members if texts[k][0] == (min(ids) if ids else None))
+    assert sum(not (t or "").split() for _, t in left) == sum(not (t or "").split() for _, t in texts)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in distinct_documents(odd).collect()) == [(0, ""), (2, ""), (5, "same text"), (7, "")] and distinct_documents(empty).count() == 0
+
+
 def test_shingles_do_not_depend_on_blocks():
     import pyarrow as pa
 
