@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histospark.llm.exact_dedup import kept_documents
-from histospark.llm.jaccard_join import jaccard_components
+from histospark.llm.jaccard_join import distinct_documents
 from histospark.llm.packing import pack
 from histospark.llm.pii import pseudonymise
 from histospark.llm.queries import WORD_BPE, pseudonym_key
@@ -26,9 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity 0.75 or more connect, the one with the smallest id stays."""
-    found = jaccard_components(docs).where(F.col("doc_id") != F.col("component_id"))
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return distinct_documents(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
