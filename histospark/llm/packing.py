@@ -1,10 +1,10 @@
-"""Bounded-space best-fit packing of token sequences.
+"""Bounded-space online best-fit packing of token sequences.
 
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt into groups of about TOKENS_PER_GROUP tokens by a
-hash, the number of groups following the tokens counted over all documents, and each group is packed on its own: open
-bins are kept by free space, a bitset tells which free spaces have a bin, and a piece goes to the bin with the least space
-that holds it. At most ``open_bins`` are open; when another is needed, the fullest closes. Each group leaves about one
-bin that is not full out of a thousand.
+hash, the number of groups following the tokens counted over all documents, and each group is packed on its own, its pieces arriving in
+the order of their ids: open bins are kept by free space, a bitset tells which free spaces have a bin, and a piece goes to
+the bin with the least space that holds it. OPEN_BINS are open at most, out of the thousands that a group fills; when another is needed, the
+fullest closes. What a group leaves open at its end is a few bins out of TOKENS_PER_GROUP / capacity.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from tokenizers import Tokenizer
 from .storage import stored
 from .words import ChunkTable, Vocabulary, byte_symbols, chunks
 
-TOKENS_PER_GROUP = 4_000_000
+TOKENS_PER_GROUP = 32_000_000
+OPEN_BINS = 64
 _TABLES: dict[int, ChunkTable] = {}
 
 
@@ -94,14 +95,15 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int, id
 
 
 def pack(
-    docs: DataFrame, vocabulary_path: str, capacity: int = 4096, end_id: int = 1, open_bins: int = 1024,
+    docs: DataFrame, vocabulary_path: str, capacity: int = 4096, end_id: int = 1, open_bins: int = OPEN_BINS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns ``id_col``, piece, start, length, ids_crc32, sequence_id, offset, a row per piece. Null and empty texts are pieces
     of ``end_id`` alone; an empty table gives no piece. Rows that repeat an id are documents of their own. Only the
-    pieces' numbers are shuffled. Within a group longer pieces come first, equal ones by id and piece.
+    pieces' numbers are shuffled; a very long text is encoded by one task and then is pieces like any others. Other columns are not read.
+    Within a group pieces arrive by id and piece, those of rows with one id by their checksum; null ids come last.
     """
     cut = stored(pieces(docs, vocabulary_path, capacity, end_id, id_col, text_col), "pieces")
     tokens = cut.agg(F.sum("length")).first()[0] or 0
@@ -110,7 +112,7 @@ def pack(
     schema = "_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def packed(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("_id", "piece", "ids_crc32", "length")])
         base = table.column("_group")[0].as_py() << 40
         placed = best_fit(table.column("length").to_pylist(), capacity, open_bins)
         table = table.drop_columns(["_group"])

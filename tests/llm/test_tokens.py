@@ -1,6 +1,7 @@
 """Token counts, encoding and packing against the library."""
 
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -96,6 +97,55 @@ def test_best_fit_closes_the_fullest():
     assert best_fit([6, 5, 9, 4], 10, 2) == [(0, 0), (1, 0), (2, 0), (1, 5)]
 
 
+def plainly_packed(lengths, capacity, open_bins):
+    """Best fit with a bounded number of open bins, by looking through all of them."""
+    used, bins, out = [], [], []
+    for n in lengths:
+        fitting = [b for b in bins if used[b] + n <= capacity]
+        if not fitting:
+            if len(bins) == open_bins:
+                bins.remove(max(bins, key=lambda b: used[b]))
+            bins.append(len(used))
+            used.append(0)
+            fitting = bins[-1:]
+        best = max(used[b] for b in fitting)
+        out.append((best, sorted(used[b] for b in bins)))
+        chosen = next(b for b in fitting if used[b] == best)
+        used[chosen] += n
+        if used[chosen] == capacity:
+            bins.remove(chosen)
+    return out, used
+
+
+def test_best_fit_against_plain_search():
+    rng = random.Random(9)
+    for _ in range(200):
+        capacity, open_bins = rng.randrange(4, 40), rng.randrange(1, 6)
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(60)]
+        placed = best_fit(lengths, capacity, open_bins)
+        plain, used = plainly_packed(lengths, capacity, open_bins)
+        assert [o for _, o in placed] == [best for best, _ in plain]
+        fill = {}
+        for (b, o), n in zip(placed, lengths, strict=True):
+            assert fill.get(b, 0) == o
+            fill[b] = o + n
+        assert sorted(fill.values()) == sorted(used) and max(fill.values()) <= capacity
+
+
+def test_bins_close_within_a_group(docs):
+    """With few open bins, pieces find the offsets that the plain search gives them in the order of ids."""
+    got = sorted(pack(docs, PATH, capacity=64, open_bins=3).collect(), key=lambda r: (r["doc_id"], r["piece"]))
+    plain, used = plainly_packed([r["length"] for r in got], 64, 3)
+    assert [r["offset"] for r in got] == [best for best, _ in plain]
+    assert len({r["sequence_id"] for r in got}) == len(used) > sum(u == 64 for u in used) + 3  # some closed with space left
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_sequences_are_few(spark):
+    got = pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), PATH).agg({"length": "sum", "sequence_id": "max"}).first()
+    assert got["max(sequence_id)"] + 1 <= 1.01 * got["sum(length)"] / 4096
+
+
 def test_odd_rows(odd, empty):
     for f in (lambda d: token_counts(d, PATH), lambda d: encode_decode(d, PATH), lambda d: pack(d, PATH)):
         assert f(odd).count() == 6 and f(empty).count() == 0
