@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from .storage import shared_path, stored
 
 ARCHIVE_BYTES = 32 << 20
+#: Pages of more than so many times the mean size go to archives of their own.
+LARGE = 8
 ENTRIES_PER_RANGE = 20_000
-SPLIT_SAMPLE = 10_000
+#: About so many keys are brought to the driver to balance ranges, of which there are a quarter as many at most.
+SPLIT_SAMPLE = 40_000
 SALTS = 128
 ENTRY = "page_id long, url string, url_key string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, record_offset long"
 
@@ -72,7 +75,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
 
     Of records with equal payloads of ``min_bytes`` or more, that with the smallest id is the response, and the others
     revisit it. Null payloads are empty. Without ``date_col`` (a timestamp) dates follow from ids. Copies are found by digest, a
-    second hash and length, with salted keys: ids and hashes are aggregated first, and payloads move once.
+    second hash and length, with salted keys: ids and hashes are aggregated first, and payloads move once. An archive is some ARCHIVE_BYTES: those
+    of pages up to LARGE times the mean size LARGE times that at most, those of larger ones no more than the largest page needs.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     page = F.col(id_col).cast("long")
@@ -90,11 +94,17 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
     spread = stored(partial.join(total, key).select(*key, "_salt", "_original"), "payload-groups")
     decided = rows.join(spread, [*key, "_salt"])
     revisit = (F.col("_bytes") >= min_bytes) & ~F.col("_id").eqNullSafe(F.col("_original"))
-    records = decided.withColumn("_revisit", revisit).select(_record().alias("value"))
-    n, size = rows.agg(F.count(F.lit(1)), F.sum("_bytes")).first()
-    path = shared_path(pages.sparkSession, "warc")
-    per_file = max(1, int(ARCHIVE_BYTES / ((size or 0) / max(n, 1) + 500)))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    n, size, most = rows.agg(F.count(F.lit(1)), F.sum("_bytes"), F.max("_bytes")).first()
+    path, mean = shared_path(pages.sparkSession, "warc"), (size or 0) / max(n, 1) + 500
+    small = F.col("_bytes") <= int(LARGE * mean)
+
+    def written(part: DataFrame, record_bytes: float) -> None:
+        out = part.withColumn("_revisit", revisit).select(_record().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+        out.option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / record_bytes))).mode("append").text(path)
+
+    written(decided.where(small), mean)
+    if (most or 0) > int(LARGE * mean):
+        written(decided.where(~small), most + 2000)
     return path
 
 
@@ -199,14 +209,16 @@ class LoserTree:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The entries of all runs with ``capture_order``, which rises with URL key, date and id over all of them.
 
-    Range bounds come from at most about SPLIT_SAMPLE keys, every so many-th of each run; they only balance the work. A range
-    holds about ENTRIES_PER_RANGE entries, and one URL with many captures has as many ranges as it needs.
+    Range bounds come from about SPLIT_SAMPLE keys, chosen by a hash of archive and place; they only balance the work. A range holds about
+    ENTRIES_PER_RANGE entries, or, where that would need more than SPLIT_SAMPLE / 4 ranges, a share of all, and one URL with many
+    captures has as many ranges as it needs.
     """
     n = runs.count()
     key = ["url_key", "captured", "page_id", "archive", "record_offset"]
     step = max(1, n // SPLIT_SAMPLE)
-    sample = sorted(_order((r[2], None, r[0], r[1], *[None] * 4, r[3], r[4])) for r in runs.where(F.col("seq") % step == 0).select("url_key", "captured", "page_id", "archive", "record_offset").limit(2 * SPLIT_SAMPLE + 1).collect())
-    ranges = max(1, ceil(n / ENTRIES_PER_RANGE))
+    some = runs.where(F.pmod(F.xxhash64("archive", "seq"), F.lit(step)) == 0).select(*key).collect()
+    sample = sorted(_order((p, None, u, t, *[None] * 4, a, o)) for u, t, p, a, o in some)
+    ranges = min(max(1, ceil(n / ENTRIES_PER_RANGE)), SPLIT_SAMPLE // 4)
     bounds = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
     shared = runs.sparkSession.sparkContext.broadcast(bounds)
 
@@ -233,7 +245,8 @@ def archive_and_index(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_
     """Write the archives of ``pages``, read them back and merge their index; a row per page: the columns of ENTRY and capture_order.
 
     An empty table gives an empty index. Null payloads are empty payloads, null URLs ``urn:none``. Rows that repeat an id and a
-    payload are responses all if that id is the smallest.
+    payload are responses all if that id is the smallest. A very long payload is an archive of its own, which one task holds; equal keys are
+    ordered by id, archive and place. Other columns, whatever their names, are not read.
     """
     path = write_archives(pages, min_bytes, id_col, url_col, payload_col)
     runs = stored(index_runs(pages.sparkSession, path), "warc-runs")

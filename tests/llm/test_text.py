@@ -355,6 +355,22 @@ def test_archives_come_back(spark, least):
     assert archive_and_index(df.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_and_ranges_merge(spark, monkeypatch):
+    from histospark.llm import warc
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "ENTRIES_PER_RANGE", 30)
+    rng = random.Random(4)
+    rows = [(i, f"http://h{rng.randrange(9)}.org/{rng.randrange(20)}", "p" * rng.choice([10, 50, 200, 90_000 if i % 50 == 0 else 5]) + str(rng.randrange(150))) for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write_archives(df)
+    runs = warc.index_runs(spark, path)
+    ends = runs.selectExpr("archive", "record_offset + payload_bytes AS e").groupBy("archive").max("e").collect()
+    assert len(ends) > 20 and max(r["max(e)"] for r in ends) < 8 * 20_000 + 100_000
+    got = sorted(warc.merge_runs(runs).collect(), key=lambda r: r["capture_order"])
+    assert [r["page_id"] for r in got] == [i for *_, i in sorted((url_key(u), "%010d" % i, i) for i, u, _ in rows)]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, ids = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
