@@ -37,8 +37,9 @@ POSITION_BITS = 22
 
 _rng = np.random.default_rng(20240502)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: ``row`` tells documents with the same id apart; ``at`` is where the anchor is in the stretch.
-STRETCH = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("size", "<u2"), ("at", "<u2")])
+#: ``row`` tells documents with the same id apart; ``at`` is where the anchor is in the stretch. ``left`` and ``right`` are hashes of the anchor with the
+#: bytes before and after it that all windows have in which it is far from the front, or near to it; 0 if the stretch has no such window.
+STRETCH = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("size", "<u2"), ("at", "<u2"), ("left", "<u4"), ("right", "<u4")])
 SPAN = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("size", "<i8")])
 PLACE = ["doc", "row", "start"]
 
@@ -104,6 +105,14 @@ def _stretches(batch, docs: list[tuple[int, int]], length: int, seed: int) -> np
     out["start"] = a - base[own] + np.array([p[1] for p in batch], np.int64)[own]
     out["size"] = b - a
     out["at"] = at[first] - a
+    half, place = (length - seed) // 2, at[first]
+
+    def context(begin: np.ndarray, size: int) -> np.ndarray:
+        begin = np.clip(begin, 0, len(data) - size)
+        return (_mixed((total[begin + size] - total[begin]) * down[begin]) >> np.uint64(32)) | np.uint64(1)
+
+    out["left"] = np.where(place - a >= half, context(place - half, half + seed), 0)
+    out["right"] = np.where(place - (b - length) < half, context(place, length - half + 1), 0)
     return out
 
 
@@ -172,8 +181,8 @@ MET = "doc long, row long, start long, size long, at int, anchor long, whole boo
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """Rows of MET of a bucket's stretches: whole ones have the bytes of an earlier one; of the others, those whose anchor has stretches of several
-    kinds."""
+    """Rows of MET of a bucket's stretches: whole ones have the bytes of an earlier one; of the others, those that can have a window in common with
+    another kind: each window has one of the two contexts of its anchor whole, so one of them must be the same."""
     found = _unblob(table.column("stretches").to_pylist(), STRETCH)
     found = found[np.lexsort([found[c] for c in ("start", "row", "doc", "content", "anchor")])]
     anchor, content = found["anchor"], found["content"]
@@ -183,6 +192,13 @@ def _met(table: pa.Table) -> pa.Table:
     several = (np.bincount(group, first) > 1)[group] if len(found) else first
     done = np.concatenate([_unblob(table.column("done").to_pylist(), SPAN), united(_spans(found[~first]))])
     open_ = found[first & several]
+
+    def met(side: str) -> np.ndarray:
+        key = open_["anchor"] ^ open_[side].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        place, counts = np.unique(key, return_inverse=True, return_counts=True)[1:]
+        return (open_[side] > 0) & (counts[place] > 1)
+
+    open_ = open_[met("left") | met("right")]
     n, m = len(done), len(open_)
     columns = {c: np.concatenate([done[c], open_[c].astype(np.int64)]) for c in SPAN.names}
     columns["at"] = np.concatenate([np.zeros(n, np.int32), open_["at"].astype(np.int32)])

@@ -292,7 +292,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     others = {r["f"]: r["neg"] for r in _having(sample.where("_toxic = 0"), most).select("f", F.size("families").alias("neg")).collect()}
     neg = {f: others.get(f, 0) for f, n in most.items() if others.get(f, 0) <= n}
     having = {r["f"]: set(r["families"]) for r in pos.collect() if r["f"] in neg}
-    weights = {e: w for e, w in _weights(sample, _entries(having, neg, least, n_pos / n_neg), n_pos, n_neg).items() if w > 0}
+    entries = _entries(having, neg, least, n_pos / n_neg)
+    if not entries:
+        return Lexicon({}, 1.0, 1.0)
+    weights = {e: w for e, w in _weights(sample, entries, n_pos, n_neg).items() if w > 0}
     phrases = tuple(exceptions) + _exceptions(sample, Lexicon(weights, 1.0, 1.0), least)
     lexicon = Lexicon(weights, 1.0, 1.0, phrases)
 
@@ -306,13 +309,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pos, neg = [0] * n_bins, [0] * n_bins
     for r in bins:
         (pos if r["toxic"] else neg)[r["bin"]] += r["n"]
-    # The curve's middle is between the bins that part the labels with the fewest errors; with several such places, the first run of them.
+    # The curve's middle is between the bins that part the labels with the fewest errors; with several such places, the first run of them. Texts
+    # without any entry are below it.
     errors, best = sum(neg), []
     for k in range(n_bins + 1):  # errors when bins from k on are called toxic
         best.append(errors)
         if k < n_bins:
             errors += pos[k] - neg[k]
-    first = best.index(min(best))
+    first = best.index(min(best[1:]), 1)
     last = first
     while last < n_bins and best[last + 1] == best[first]:
         last += 1

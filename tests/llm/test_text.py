@@ -11,7 +11,6 @@ import zlib
 
 import pytest
 
-import corpus_pipeline
 from histospark.llm import queries
 from histospark.llm.pii import ROUNDS, SHORT_CODES, pii_report, pseudonymise
 from histospark.llm.toxicity import Lexicon, fold, held_out, learn, score_toxicity, without_toxic
@@ -371,19 +370,6 @@ def test_archives_are_bounded_and_ranges_merge(spark, monkeypatch):
     assert [r["page_id"] for r in got] == [i for *_, i in sorted((url_key(u), "%010d" % i, i) for i, u, _ in rows)]
 
 
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, ids = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, SF), "test-stage")
-        left = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert left <= ids and len(left) > 0.8 * len(ids), name
-        ids = left
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert docs.columns == columns
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == ids
-
-
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_queries(spark, name):
     table = "pages" if name.startswith("op7_") else "documents"
