@@ -64,6 +64,11 @@ def mask(v: Column, m: Column, background=0) -> Column:
     return F.when(m > 0, v).otherwise(F.lit(background))
 
 
+def overwrite(target: Column, source: Column, where: Column) -> Column:
+    """``source`` where the mask isn't 0, else ``target``."""
+    return F.when(where != 0, source).otherwise(target)
+
+
 def saturating_subtract(a: Column, b: Column) -> Column:
     """Of 8-bit values."""
     return F.greatest(a - b, F.lit(0))

@@ -96,21 +96,26 @@ def regional_maxima(v: np.ndarray, connectivity: int) -> np.ndarray:
     return ~np.isin(zone, np.unique(zone[higher]))
 
 
-def squared_distance(v: np.ndarray) -> np.ndarray:
-    """Exact squared Euclidean distance to the nearest zero; -1 without any zero. Along columns by running minima, then along
-    rows for as many steps as any distance is long."""
-    h, w = v.shape
-    if v.all():
-        return np.full((h, w), -1, np.int64)
-    far = h + w + 1
-    down = np.where(v == 0, 0, far).astype(np.int64)
-    for y in range(1, h):
+FAR = 1 << 40
+
+
+def column_distance(v: np.ndarray) -> np.ndarray:
+    """Distance of each pixel to the nearest zero of its column; FAR or more where it has none."""
+    down = np.where(v == 0, 0, FAR).astype(np.int64)
+    for y in range(1, len(v)):
         down[y] = np.minimum(down[y], down[y - 1] + 1)
-    for y in range(h - 2, -1, -1):
+    for y in range(len(v) - 2, -1, -1):
         down[y] = np.minimum(down[y], down[y + 1] + 1)
-    square = down * down
-    out = square.copy()
-    step = 1
+    return down
+
+
+def nearest_in_rows(down: np.ndarray) -> np.ndarray:
+    """Exact squared Euclidean distance from the distances along columns; -1 without any zero. Rows are searched for as many steps as any
+    distance is long."""
+    if (down >= FAR).all():
+        return np.full(down.shape, -1, np.int64)
+    square = np.where(down >= FAR, FAR, down * down)
+    out, step, w = square.copy(), 1, down.shape[1]
     while step < w and step * step < out.max():
         out[:, step:] = np.minimum(out[:, step:], square[:, :-step] + step * step)
         out[:, :-step] = np.minimum(out[:, :-step], square[:, step:] + step * step)
@@ -118,6 +123,11 @@ def squared_distance(v: np.ndarray) -> np.ndarray:
     return out
 
 
+def squared_distance(v: np.ndarray) -> np.ndarray:
+    """Exact squared Euclidean distance to the nearest zero; -1 without any zero."""
+    return nearest_in_rows(column_distance(np.minimum(v, 1)))
+
+
 def wavefront_distance(v: np.ndarray) -> np.ndarray:
     """Distance to the nearest zero as the eight-neighbour wavefront finds it (approximate): pixels take over their neighbours'
     nearest zero while that is closer. Without zeros, the distance to the place after three images."""
@@ -225,8 +235,9 @@ def cheapest_paths(v: np.ndarray, connectivity: int, rounds: int = 2000) -> np.n
     return out
 
 
-def canny(v: np.ndarray, low: float = 70, high: float = 90) -> np.ndarray:
-    """Canny edges (255) with a 5 x 5 Sobel operator, replicated edges, and the sum of absolute slopes as norm."""
+def canny_marks(v: np.ndarray, low: float = 70, high: float = 90) -> tuple[np.ndarray, np.ndarray]:
+    """Where edges may be (weak) and surely are (strong): ridges of the norm, the sum of absolute slopes by a 5 x 5 Sobel operator with
+    replicated edges, above the bounds."""
     smooth, slope = (1, 4, 6, 4, 1), (-1, -2, 0, 2, 1)
     pad = np.pad(v.astype(np.int64), 2, mode="edge")
     h, w = v.shape
@@ -241,4 +252,51 @@ def canny(v: np.ndarray, low: float = 70, high: float = 90) -> np.ndarray:
     diagonal = np.where(side == 1, (norm > at(-1, -1)) & (norm > at(1, 1)), (norm > at(-1, 1)) & (norm > at(1, -1)))
     top = np.where(flat, (norm > at(0, -1)) & (norm >= at(0, 1)), np.where(steep, (norm > at(-1, 0)) & (norm >= at(1, 0)), diagonal))
     weak = top & (norm > low)
-    return reconstruct((weak & (norm > high)).astype(np.int64), weak.astype(np.int64), 8) * 255
+    return weak, weak & (norm > high)
+
+
+def canny(v: np.ndarray, low: float = 70, high: float = 90) -> np.ndarray:
+    """Canny edges (255): weak marks that strong ones lead to."""
+    weak, strong = canny_marks(v, low, high)
+    return reconstruct(strong.astype(np.int64), weak.astype(np.int64), 8) * 255
+
+
+def outer_filled(mask: np.ndarray) -> np.ndarray:
+    """The mask with everything that background (four-connected) from outside doesn't reach."""
+    framed = np.pad(~mask, 1, constant_values=True)
+    start = np.zeros(framed.shape, np.int64)
+    start[0, 0] = 1
+    return reconstruct(start, framed.astype(np.int64), 4)[1:-1, 1:-1] == 0
+
+
+def polygon_measure(mask: np.ndarray) -> tuple[float, int]:
+    """Of the closed line through the centres of a filled mask's boundary pixels: its area, a half for each 2 x 2 quad with three pixels and one for each
+    with four, and the number of its points, by Pick's theorem."""
+    quads = mask[:-1, :-1].astype(int) + mask[:-1, 1:] + mask[1:, :-1] + mask[1:, 1:]
+    area = float((quads == 4).sum() + (quads == 3).sum() / 2)
+    return area, int(2 * (mask.sum() - 1 - area))
+
+
+def contour_measures(mask: np.ndarray) -> tuple[int, int, float, int, int]:
+    """(pixels, filled pixels, polygon area, contour points, net measure) of one component. The net measure is the rounded polygon area with half
+    of the points and one, less the same of each hole, whose line goes through the pixels around it."""
+    filled = outer_filled(mask)
+    area, points = polygon_measure(filled)
+    net = round(area) + points // 2 + 1
+    holes = label(np.where(filled & ~mask, 1, 0), 4)
+    for root in np.unique(holes[holes >= 0]):
+        hole = np.pad(holes == root, 1)
+        rim = hole.copy()
+        for dy, dx in N4:
+            rim |= shifted(hole, dy, dx, False)
+        a, n = polygon_measure(rim)
+        net -= round(a) + n // 2 + 1
+    return int(mask.sum()), int(filled.sum()), area, points, net
+
+
+def widened(mask: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
+    """What the offsets reach from the mask."""
+    out = np.zeros_like(mask)
+    for dy, dx in offsets:
+        out |= shifted(mask, -dy, -dx, False)
+    return out

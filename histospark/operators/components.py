@@ -107,8 +107,49 @@ def label_filtered(px: DataFrame, cols: int, connectivity: int, keep: Callable[[
     return out.select(*PIXEL, F.lit(255).alias("v")) if binary else out
 
 
+def contours(labels: DataFrame) -> DataFrame:
+    """(image_id, label, area, filled, polygon, points, net) of objects that are single components: pixels; pixels with those of holes; the area
+    within the closed line through the centres of the outer boundary's pixels and the number of its points; and that area, rounded, with half
+    of the points and one, less the same of each hole. A task has the box of one object at a time."""
+
+    def measured(t: pa.Table) -> pa.Table:
+        _, _, present, _ = arrays(t, [])
+        values = k.contour_measures(present)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        own = {c: pa.array([t.column(c)[0].as_py()], pa.int64()) for c in OBJECT}
+        return pa.table(own | {c: pa.array([v], kind) for c, v, kind in zip(("area", "filled", "polygon", "points", "net"), values, kinds, strict=True)})
+
+    rows = labels.select(*PIXEL, F.col("label").cast("long").alias("label"))
+    return rows.groupBy(*OBJECT).applyInArrow(measured, "image_id long, label long, area long, filled long, polygon double, points long, net long")
+
+
 def contour_area(labels: DataFrame) -> DataFrame:
-    """(image_id, label, area) by runs: the filled width of each row of an object, summed. Holes count, unlike in ``area``, and so do gaps
-    between the first and last pixel of a row."""
-    runs = labels.groupBy(*OBJECT, "y").agg((F.max("x") - F.min("x") + 1).alias("width"))
-    return runs.groupBy(*OBJECT).agg(F.sum("width").alias("area"))
+    """(image_id, label, area) within the outer contour: rows of the filled object, end to end."""
+    return contours(labels).select(*OBJECT, F.col("filled").alias("area"))
+
+
+def contour_area_filter(labels: DataFrame, lower: int, upper: int, measure: str = "net") -> DataFrame:
+    """Pixels of objects with lower <= measure < upper, of what ``contours`` has: net or filled."""
+    kept = contours(labels).where((F.col(measure) >= lower) & (F.col(measure) < upper))
+    return labels.join(kept.select(*OBJECT), OBJECT, "left_semi")
+
+
+def label_contours(px: DataFrame, cols: int, connectivity: int, tile: int = TILE) -> DataFrame:
+    """Labels 1..n of the outer contours, each filled: what lies in an object's holes has its label, islands in them included."""
+    own = relabel(label(px, cols, connectivity, tile=tile))
+
+    def filled(t: pa.Table) -> pa.Table:
+        y0, x0, present, _ = arrays(t, [])
+        inside = k.outer_filled(present)
+        label_ = t.column("label")[0].as_py()
+        n = int(inside.sum())
+        y, x = np.nonzero(inside)
+        first = pa.array(np.full(n, t.column("image_id")[0].as_py()), pa.int64())
+        return pa.table({"image_id": first, "y": pa.array(y + y0, pa.int32()), "x": pa.array(x + x0, pa.int32()), "label": pa.array(np.full(n, label_), pa.int64()), "size": pa.array(np.full(n, n), pa.int64())})
+
+    every = own.groupBy(*OBJECT).applyInArrow(filled, "image_id long, y int, x int, label long, size long")
+    # A place within several contours has the label of the outermost, which is the largest.
+    outer = every.groupBy(*PIXEL).agg(F.max(F.struct("size", F.col("label").alias("outer"))).alias("o")).select(*PIXEL, F.col("o.outer").alias("label"))
+    dense = Window.partitionBy("image_id").orderBy("label")
+    ranks = outer.select(*OBJECT).distinct().withColumn("_rank", F.row_number().over(dense).cast("long"))
+    return outer.join(ranks, OBJECT).select(*PIXEL, F.col("_rank").alias("label"))

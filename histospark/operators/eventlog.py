@@ -13,6 +13,11 @@ TYPES = {
 }
 
 
+def event(id_: Column, name: Column, start_us: Column, end_us: Column, annotation: Column, type_name: str) -> list[Column]:
+    """The columns of an event of one of TYPES: id, name, type, start_us, end_us, annotation."""
+    return [id_.alias("id"), name.alias("name"), F.lit(TYPES[type_name]).alias("type"), start_us.cast("long").alias("start_us"), end_us.cast("long").alias("end_us"), annotation.alias("annotation")]
+
+
 def duration() -> Column:
     """Both ends count."""
     return F.col("end_us") - F.col("start_us") + 1
@@ -31,7 +36,9 @@ def summary(log: DataFrame, by: str = "name", keys: list[str] | None = None) ->
 def wide_summary(log: DataFrame, by: str, values: list) -> DataFrame:
     """One row per session with ``<value> count``, ``<value> mean``, ``<value> stdev`` for each of ``values``."""
     s = summary(log, by)
-    return s.groupBy("session").pivot(by, values).agg(F.first("count").alias("count"), F.first("mean").alias("mean"), F.first("stdev").alias("stdev"))
+    kinds = ("count", "mean", "stdev")
+    wide = s.groupBy("session").pivot(by, values).agg(*[F.first(k).alias(k) for k in kinds])
+    return wide.select("session", *[F.col(f"`{v}_{k}`").alias(f"{v} {k}") for v in values for k in kinds])
 
 
 def session_lines(log: DataFrame, origin_us: Column | int = 0) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels import arrays as k
+from ..plans.storage import table
+from ..plans.tiles import arrays
 from ..schema import OBJECT, PIXEL
 from .histogram import object_histogram, statistics
 from .layout import sizes
@@ -71,24 +76,37 @@ def canny_features(labels: DataFrame, gray: DataFrame, prefix: str = "canny_") -
 
 def cytoplasm(labels: DataFrame, px: DataFrame) -> DataFrame:
     """(image_id, y, x, label) of each object's ring: what the disk of radius 8 reaches around it within the image, without the object itself. Rings
-    may overlap each other and other objects. Interior pixels reach nothing new and are left out before the disk multiplies rows."""
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in DISK17])
-    four = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))])
-    around = labels.select(*OBJECT, "y", "x", F.explode(four).alias("o")).select(*OBJECT, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    inner = around.groupBy(*OBJECT, "y", "x").count().where("count = 4").drop("count")
-    rim = labels.join(inner, [*OBJECT, "y", "x"], "left_anti")
-    reached = rim.select(*OBJECT, "y", "x", F.explode(steps).alias("o")).select(*OBJECT, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
-    size = sizes(px)
-    inside = reached.join(size, "image_id").where((F.col("y") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") >= 0) & (F.col("x") < F.col("w")))
-    return inside.join(labels, [*OBJECT, "y", "x"], "left_anti").select(*PIXEL, "label")
+    may overlap each other and other objects. A task has the box of one object at a time."""
+    margin = max(dy for dy, _ in DISK17)
+
+    def ring(t: pa.Table) -> pa.Table:
+        y0, x0, present, _ = arrays(t, [])
+        wide = np.pad(present, margin)
+        y, x = np.nonzero(k.widened(wide, DISK17) & ~wide)
+        y, x = y + y0 - margin, x + x0 - margin
+        inside = (y >= 0) & (x >= 0) & (y < t.column("h")[0].as_py()) & (x < t.column("w")[0].as_py())
+        y, x = y[inside], x[inside]
+        own = {c: pa.array(np.full(len(y), t.column(c)[0].as_py()), pa.int64()) for c in OBJECT}
+        return pa.table({"image_id": own["image_id"], "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "label": own["label"]})
+
+    sized = labels.select(*PIXEL, F.col("label").cast("long").alias("label")).join(sizes(px), "image_id")
+    return sized.groupBy(*OBJECT).applyInArrow(ring, "image_id long, y int, x int, label long")
 
 
 def all_features(labels: DataFrame, gray: DataFrame) -> DataFrame:
-    """Every feature set of objects and of their rings in one row per object; null where a ring has no pixel."""
-    rings = cytoplasm(labels, gray)
-    out = shape_features(labels)
-    for own, prefix in ((labels, ""), (rings, "cyto_")):
-        out = out.join(intensity_features(own, gray, prefix + "intensity_"), OBJECT, "left")
-        out = out.join(gradient_features(own, gray, prefix + "gradient_"), OBJECT, "left")
-        out = out.join(canny_features(own, gray, prefix + "canny_"), OBJECT, "left")
-    return out
+    """Every feature set of objects and of their rings in one row per object; null where a ring has no pixel. Slopes and edges of the image are made
+    once, and all six histograms are one aggregation."""
+    slopes = gradient(gray).select(*PIXEL, F.col("v").alias("gradient"))
+    edges = canny(gray).select(*PIXEL, F.col("v").alias("canny"))
+    planes = table(gray.select(*PIXEL, F.col("v").alias("intensity")).join(slopes, PIXEL).join(edges, PIXEL), "planes")
+    both = labels.select(*PIXEL, "label", F.lit("").alias("part")).unionByName(cytoplasm(labels, gray).withColumn("part", F.lit("cyto_")))
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("int").alias("bin")) for c in ("intensity", "gradient", "canny")])
+    counted = both.join(planes, PIXEL).select(*OBJECT, "part", F.explode(kinds).alias("h")).groupBy(*OBJECT, "part", "h.kind", "h.bin").agg(F.count(F.lit(1)).alias("cnt"))
+    found = table(statistics(counted, [*OBJECT, "part", "kind"]), "feature-statistics")
+    names = {
+        "intensity": ["mean", "maximum", "minimum", "std", "entropy", "energy", "skewness", "kurtosis"],
+        "gradient": ["mean", "std", "entropy", "energy", "skewness", "kurtosis"], "canny": ["nonzero", "mean"],
+    }
+    only = lambda part, kind, c: F.max(F.when((F.col("part") == part) & (F.col("kind") == kind), F.col(c)))
+    wide = found.groupBy(*OBJECT).agg(*[only(part, kind, c).alias(f"{part}{kind}_{c}") for part in ("", "cyto_") for kind, own in names.items() for c in own])
+    return shape_features(labels).join(wide, OBJECT, "left")

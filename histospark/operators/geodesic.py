@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..kernels import arrays as k
 from ..plans.fixpoint import until_stable
 from ..plans.storage import table
-from ..plans.tiles import TILE, arrays, per_image, tiled
+from ..plans.tiles import TILE, arrays, per_image, rows, tiled
 from ..schema import OBJECT, PIXEL
 from .components import label
 
@@ -168,9 +168,31 @@ def regional_minima(px: DataFrame, cols: int, connectivity: int, tile: int = TIL
     return regional_maxima(px.select(*PIXEL, (255 - F.col("v")).alias("v")), cols, connectivity, tile)
 
 
-def distance(px: DataFrame) -> DataFrame:
-    """Exact Euclidean distance of each pixel to the nearest zero (v); -1 in images without one."""
-    return per_image(px, ["v"], lambda _, a: {"v": np.sqrt(k.squared_distance(a["v"]).clip(0)) - (k.squared_distance(a["v"]) < 0)}, {"v": "double"})
+def reconstruct_by_levels(px: DataFrame, connectivity: int) -> DataFrame:
+    """The reconstruction of 8-bit values level by level from the highest down, on each image as a whole."""
+    return per_image(px, ["marker", "mask"], lambda _, a: {"v": k.downhill(a["marker"], a["mask"], connectivity)}, {"v": "double"})
+
+
+def distance(px: DataFrame, strip: int = TILE) -> DataFrame:
+    """Exact Euclidean distance of each pixel to the nearest zero (v); -1 in images without one.
+
+    In two passes: along the columns in strips of ``strip`` columns, then along the rows in strips of as many rows. So a task has a strip of an
+    image, not an image; pixels are shuffled twice.
+    """
+
+    def down(t: pa.Table) -> pa.Table:
+        y0, x0, present, dense = arrays(t, ["v"])
+        d = k.column_distance(np.minimum(dense["v"], 1))
+        return rows(t.column("image_id")[0].as_py(), y0, x0, present, {"d": d}, {"d": pa.int64()})
+
+    def across(t: pa.Table) -> pa.Table:
+        y0, x0, present, dense = arrays(t, ["d"])
+        square = k.nearest_in_rows(dense["d"])
+        v = np.where(square < 0, -1.0, np.sqrt(square.clip(0)))
+        return rows(t.column("image_id")[0].as_py(), y0, x0, present, {"v": v}, {"v": pa.float64()})
+
+    by_column = px.select(*PIXEL, F.col("v").cast("double").alias("v")).groupBy("image_id", F.floor(F.col("x") / strip).alias("tx")).applyInArrow(down, "image_id long, y int, x int, d long")
+    return by_column.groupBy("image_id", F.floor(F.col("y") / strip).alias("ty")).applyInArrow(across, "image_id long, y int, x int, v double")
 
 
 def wavefront_distance(px: DataFrame) -> DataFrame:

@@ -20,6 +20,14 @@ def image_histogram(px: DataFrame, mask: DataFrame | None = None, roi: tuple[int
     return px.groupBy("image_id", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def masked_histogram(px: DataFrame, mask: DataFrame) -> DataFrame:
+    """(image_id, bin, cnt) of the bits that v and the mask have in common, where pixels with mask 0 are taken out of bin 0 again."""
+    both = px.join(mask.select(*PIXEL, F.col("v").alias("_m")), PIXEL)
+    one = F.when(F.col("_m") == 0, 0).otherwise(1)
+    counts = both.groupBy("image_id", F.col("v").bitwiseAND(F.col("_m")).alias("bin")).agg(F.sum(one).cast("long").alias("cnt"))
+    return counts.where("cnt > 0")
+
+
 def object_histogram(labels: DataFrame, gray: DataFrame) -> DataFrame:
     """(image_id, label, bin, cnt): labels may overlap, as cytoplasm rings do."""
     both = labels.join(gray.select(*PIXEL, "v"), PIXEL)
@@ -61,3 +69,12 @@ def statistics(hist: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.when(flat, F.lit(0.0)).otherwise(m3 / (var * F.sqrt(var))).alias("skewness"),
         F.when(flat, F.lit(0.0)).otherwise(m4 / (var * var)).alias("kurtosis"),
     )
+
+
+def with_empty(stats: DataFrame, objects: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Of what ``statistics`` gives, a row for each of ``objects`` (``keys``): those without any pixel have 0 throughout, but for the minimum, which is
+    the number of bins."""
+    keys = keys or OBJECT
+    whole = objects.select(*keys).distinct().join(stats, keys, "left")
+    rest = [c for c in stats.columns if c not in keys]
+    return whole.select(*keys, *[F.coalesce(c, F.lit(BINS if c == "minimum" else 0).cast(stats.schema[c].dataType)).alias(c) for c in rest])

@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import discard, table
 
 MOST_ROUNDS = 100_000
+SALTS = 16
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], what: str = "round") -> DataFrame:
-    """Apply ``step`` until its boolean column ``changed`` is false in all rows. Only that one fact comes to the driver."""
+    """Apply ``step`` until its boolean column ``changed`` is false in all rows. Only that one fact comes to the driver. A round's table is deleted
+    when the next is written."""
     for _ in range(MOST_ROUNDS):
-        state = table(step(state), what)
+        before, state = state, table(step(state), what)
+        discard(before)
         if state.where("changed").isEmpty():
             return state
     raise RuntimeError(f"{what}: no fixpoint in {MOST_ROUNDS} rounds")
@@ -34,8 +37,11 @@ def least_reachable(edges: DataFrame) -> DataFrame:
         named = labels.select("image_id", F.col("node").alias("a"), "root")
         heard = both.join(named, ["image_id", "a"]).groupBy("image_id", F.col("b").alias("node")).agg(F.min("root").alias("m"))
         better = labels.join(heard, ["image_id", "node"]).select("image_id", "node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        # Many nodes may have one root: what it has itself comes to them by a salted key.
+        better = better.withColumn("s", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
         over = better.select("image_id", F.col("node").alias("root"), F.col("root").alias("further"))
-        jumped = better.join(over, ["image_id", "root"], "left").withColumn("to", F.least("root", F.coalesce("further", "root")))
+        spread = better.select("image_id", "root", "s").distinct().join(over, ["image_id", "root"])
+        jumped = better.join(spread, ["image_id", "root", "s"], "left").withColumn("to", F.least("root", F.coalesce("further", "root")))
         return jumped.select("image_id", "node", F.col("to").alias("root"), (F.col("to") != F.col("old")).alias("changed"))
 
     return until_stable(table(start, "labels"), step, "labels").drop("changed")

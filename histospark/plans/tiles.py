@@ -59,3 +59,9 @@ def per_image(px: DataFrame, columns: list[str], kernel: Callable[[np.ndarray, d
 def tiled(px: DataFrame, tile: int) -> DataFrame:
     """``px`` with the row and column of each pixel's tile, ty and tx."""
     return px.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
+
+
+def with_halo(px: DataFrame, tile: int, width: int) -> DataFrame:
+    """``px`` with ty and tx, each pixel also for the tiles that are ``width`` or less from it. Only pixels along seams are repeated."""
+    near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile).cast("int") for d in (-width, 0, width)]))
+    return px.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))

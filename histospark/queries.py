@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import pixels as p
@@ -13,7 +14,9 @@ from .operators import compare, eventlog, features, geodesic, histogram, layout,
 from .operators import components as comp
 from .plans import segmentation
 from .schema import PIXEL
+from .plans.storage import shared_dir, table
 from .sources import fixtures as fx
+from .sources import images, logs
 from .sources.images import size_phantom
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +45,10 @@ def foreground(px: DataFrame, k: int) -> DataFrame:
     return px.where(F.col("v") > k).select(*PIXEL, F.lit(1).alias("v"))
 
 
+def _dark(px: DataFrame) -> DataFrame:
+    return px.where("r = 70").select(*PIXEL, F.lit(1).alias("v"))
+
+
 def binary(px: DataFrame, k: int) -> DataFrame:
     return px.select(*PIXEL, p.above(F.col("v"), k).alias("v"))
 
@@ -100,6 +107,12 @@ def mask_and_subtract(s, d):
     return fx.rgb_px(s, d).select(*PIXEL, masked.alias("v"), p.saturating_subtract(F.col("r"), F.col("b")).alias("difference"))
 
 
+@query(fx.sql("SELECT image_id, y, x, CASE WHEN g > 127 THEN b ELSE r END AS v FROM rgb_px", "rgb_px"))
+def masked_overwrite(s, d):
+    mask = F.when(F.col("g") > 127, 255).otherwise(0)
+    return fx.rgb_px(s, d).select(*PIXEL, p.overwrite(F.col("r"), F.col("b"), mask).alias("v"))
+
+
 @query(fx.sql("SELECT image_id, count(*) FILTER (b > 127 AND g > 127) AS both_, count(*) FILTER (b > 127 OR g > 127) AS any_, count(*) FILTER (NOT b > 127) AS none_ FROM rgb_px GROUP BY image_id", "rgb_px"))
 def mask_algebra(s, d):
     b, g = F.col("b") > 127, F.col("g") > 127
@@ -221,11 +234,28 @@ def wavefront(s, d):
     return neighbors.wavefront(binary(fx.emb_px(s, d), 128))
 
 
-@query()
+_CANNY = f"""off AS (SELECT i - 2 AS dy, j - 2 AS dx, [1, 4, 6, 4, 1][i + 1] * [-1, -2, 0, 2, 1][j + 1] AS wx, [-1, -2, 0, 2, 1][i + 1] * [1, 4, 6, 4, 1][j + 1] AS wy FROM range(5) a(i) CROSS JOIN range(5) b(j)),
+    sl AS (SELECT a.image_id, a.y, a.x, sum(wx * n.v) AS gx, sum(wy * n.v) AS gy FROM gray2 a CROSS JOIN off JOIN gray2 n ON n.image_id = a.image_id AND n.y = greatest(0, least(7, a.y + dy)) AND n.x = greatest(0, least(7, a.x + dx)) GROUP BY ALL),
+    no AS (SELECT *, abs(gx) AS ax, abs(gy) AS ay, abs(gx) + abs(gy) AS v FROM sl),
+    ar AS (SELECT *, lag(v, 1, 0) OVER w AS w, lead(v, 1, 0) OVER w AS e, lag(v, 1, 0) OVER c AS n, lead(v, 1, 0) OVER c AS s FROM no {_WINDOWS}),
+    co AS (SELECT *, lag(n, 1, 0) OVER w AS nw, lead(n, 1, 0) OVER w AS ne, lag(s, 1, 0) OVER w AS sw, lead(s, 1, 0) OVER w AS se FROM ar {_WINDOWS}),
+    wk AS (SELECT image_id, y, x, v, v > 70 AND CASE WHEN ay < ax * tan(pi() / 8) THEN v > w AND v >= e WHEN ay > ax * tan(3 * pi() / 8) THEN v > n AND v >= s
+        WHEN (gx < 0) <> (gy < 0) THEN v > ne AND v > sw ELSE v > nw AND v > se END AS weak FROM co),
+    reach AS (SELECT image_id, y, x FROM wk WHERE weak AND v > 90 UNION SELECT n.image_id, n.y, n.x FROM reach a JOIN wk n ON n.weak AND n.image_id = a.image_id AND abs(n.y - a.y) <= 1 AND abs(n.x - a.x) <= 1),
+    can AS (SELECT image_id, g.y, g.x, CASE WHEN reach.y IS NULL THEN 0 ELSE 255 END AS v FROM gray2 g LEFT JOIN reach USING (image_id, y, x))"""
+
+
+@query(fx.sql(f"+ {_CANNY} SELECT * FROM can", "gray2", recursive=True))
 def canny(s, d):
     return watershed.canny(fx.gray2(s, d))
 
 
+@query(fx.sql(f"+ {_CANNY} SELECT * FROM can", "gray2", recursive=True))
+def canny_tiled(s, d):
+    """On tiles of 4 x 4 with halos."""
+    return watershed.canny(fx.gray2(s, d), tile=4)
+
+
 # --- components -------------------------------------------------------------------------------------------------------
 
 _LABELS = """fg AS (SELECT y, x, y * 200 + x AS p FROM mosaic WHERE v > 153), r(p, l) USING KEY (p) AS (SELECT p, p FROM fg UNION SELECT n.p, min(a.l) FROM r a JOIN fg c ON c.p = a.p
@@ -272,11 +302,40 @@ def label_filtered(s, d):
     return comp.label_filtered(foreground(fx.mosaic(s, d), 153), COLS, 8, (F.col("maxx") - F.col("minx") >= 2) & (F.col("area") > 4), tile=64)
 
 
-@query(fx.sql("SELECT image_id, label, CAST(sum(w) AS BIGINT) AS area FROM (SELECT image_id, label, y, max(x) - min(x) + 1 AS w FROM obj_px GROUP BY ALL) GROUP BY ALL", "obj_px"))
+_OUTSIDE = """cells AS (SELECT o.image_id, o.label, CAST(a.y - 1 AS INT) AS y, CAST(b.x - 1 AS INT) AS x FROM (SELECT DISTINCT image_id, label FROM obj_px) o CROSS JOIN range(10) a(y) CROSS JOIN range(10) b(x)
+    WHERE NOT EXISTS (SELECT 1 FROM obj_px p WHERE p.image_id = o.image_id AND p.label = o.label AND p.y = a.y - 1 AND p.x = b.x - 1)),
+    free AS (SELECT image_id, label, y, x FROM cells WHERE y = -1 AND x = -1 UNION SELECT n.image_id, n.label, n.y, n.x FROM free a JOIN cells n ON n.image_id = a.image_id AND n.label = a.label AND abs(n.y - a.y) + abs(n.x - a.x) = 1),
+    filled AS (SELECT o.image_id, o.label, CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x FROM (SELECT DISTINCT image_id, label FROM obj_px) o CROSS JOIN range(8) a(y) CROSS JOIN range(8) b(x)
+    WHERE NOT EXISTS (SELECT 1 FROM free p WHERE p.image_id = o.image_id AND p.label = o.label AND p.y = a.y AND p.x = b.x))"""
+
+
+@query(fx.sql(f"+ {_OUTSIDE} SELECT image_id, label, count(*) AS area FROM filled GROUP BY ALL", "obj_px", recursive=True))
 def contour_area(s, d):
     return comp.contour_area(fx.obj_px(s, d))
 
 
+@query(fx.sql(f"""+ {_OUTSIDE}, quads AS (SELECT image_id, label, y + dy AS qy, x + dx AS qx, count(*) AS n FROM filled CROSS JOIN (VALUES (0, 0), (0, -1), (-1, -1), (-1, 0)) c(dy, dx) GROUP BY ALL),
+    q AS (SELECT image_id, label, sum(CASE n WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0 END) AS polygon FROM quads GROUP BY ALL), f AS (SELECT image_id, label, count(*) AS filled FROM filled GROUP BY ALL),
+    a AS (SELECT image_id, label, count(*) AS area FROM obj_px GROUP BY ALL) SELECT image_id, label, area, filled, polygon, CAST(2 * (filled - 1 - polygon) AS BIGINT) AS points FROM q JOIN f USING (image_id, label) JOIN a USING (image_id, label)""", "obj_px", recursive=True))
+def contours(s, d):
+    return comp.contours(fx.obj_px(s, d)).drop("net")
+
+
+@query(fx.sql(f"+ {_OUTSIDE}, k AS (SELECT image_id, label FROM filled GROUP BY ALL HAVING count(*) >= 12 AND count(*) < 50) SELECT o.* FROM obj_px o JOIN k USING (image_id, label)", "obj_px", recursive=True))
+def contour_area_filter(s, d):
+    return comp.contour_area_filter(fx.obj_px(s, d), 12, 50, "filled")
+
+
+@query(fx.sql("""+ k AS (SELECT *, row_number() OVER (ORDER BY cy - rad, cx) AS n FROM (SELECT k, cy, cx, 5 + k % 3 AS rad FROM centres WHERE k % 6 <> 5)) SELECT k.n AS place, count(*) AS area
+    FROM k JOIN disc_px ON (y - cy) * (y - cy) + (x - cx) * (x - cx) <= rad * rad GROUP BY k.n""", "disc_px"))
+def label_contours(s, d):
+    """Filled contours of the discs that touch no other, by their first row."""
+    found = comp.label_contours(_dark(fx.tissue_px(s, d)), COLS, 8, tile=64)
+    size = found.groupBy("label").agg(F.count(F.lit(1)).alias("area"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.min("x").alias("x0"))
+    alone = size.where("area > 11 AND x1 - x0 < 16").withColumn("place", F.row_number().over(Window.orderBy("y0", "x0")).cast("long"))
+    return alone.select("place", "area")
+
+
 # --- reconstruction and what follows ----------------------------------------------------------------------------------
 
 
@@ -366,28 +425,53 @@ def distance(s, d):
     return rounded(geodesic.distance(binary(fx.emb_px(s, d), 128)))
 
 
-@query()
+@query(fx.sql("""SELECT a.image_id, a.y, a.x, round(coalesce(sqrt(min((a.y - z.y) * (a.y - z.y) + (a.x - z.x) * (a.x - z.x))), -1), 6) AS v FROM emb_px a
+    LEFT JOIN emb_px z ON z.image_id = a.image_id AND z.v <= 128 GROUP BY a.image_id, a.y, a.x""", "emb_px"))
+def distance_tiled(s, d):
+    """In strips of three rows and columns."""
+    return rounded(geodesic.distance(binary(fx.emb_px(s, d), 128), strip=3))
+
+
+@query(fx.sql("SELECT image_id, y, x, round(sqrt(v), 6) AS v FROM cell_px WHERE v <= 100", "cell_px"))
 def wavefront_distance(s, d):
-    return rounded(geodesic.wavefront_distance(binary(fx.emb_px(s, d), 128)))
+    """From the centres of cells, as far as no other centre comes in."""
+    px = fx.cell_px(s, d).select(*PIXEL, F.when(F.col("v") == 0, 0).otherwise(1).alias("v"))
+    return rounded(geodesic.wavefront_distance(px)).where("v <= 10")
+
+
+@query(_recon_sql(_SEED, "v", 8, "CAST(val AS DOUBLE)"))
+def reconstruct_by_levels(s, d):
+    return geodesic.reconstruct_by_levels(_seeded(fx.emb_px(s, d)), 8)
 
 
 # --- watersheds and segmentation --------------------------------------------------------------------------------------
 
 
-@query()
+_BASINS = "SELECT image_id, y, x, CAST({label} AS INT) AS label FROM cell_px JOIN (SELECT k, cy, cx, row_number() OVER (ORDER BY cy, cx) AS rank FROM centres) USING (k) WHERE v <= 64"
+_LINEAR = _BASINS.format(label="cy * 200 + cx + 1")
+
+
+def _cores(labels: DataFrame, px: DataFrame) -> DataFrame:
+    """Labels near the centres of cells, where every way of flooding has to agree."""
+    return labels.join(px.where("v <= 64").select(*PIXEL), PIXEL, "left_semi").select(*PIXEL, "label")
+
+
+@query(fx.sql(_BASINS.format(label="rank"), "cell_px"))
 def watershed_flood(s, d):
-    return watershed.watershed(fx.rgb_px(s, d).join(fx.mosaic(s, d), PIXEL))
+    px = fx.cell_px(s, d)
+    return _cores(watershed.watershed(px.drop("k")), px)
 
 
-@query()
+@query(fx.sql(_LINEAR, "cell_px"))
 def watershed_drop(s, d):
-    px = fx.emb_px(s, d)
-    return watershed.drop_of_water(px, 8, binary(px, 40))
+    px = fx.cell_px(s, d)
+    return _cores(watershed.drop_of_water(px, 8, px.select(*PIXEL, F.lit(255).alias("v"))), px)
 
 
-@query()
+@query(fx.sql(_LINEAR, "cell_px"))
 def watershed_paths(s, d):
-    return watershed.cheapest_paths(fx.emb_px(s, d), 8)
+    px = fx.cell_px(s, d)
+    return _cores(watershed.cheapest_paths(px, 8), px)
 
 
 @query(fx.sql("""SELECT image_id, round(avg(CASE WHEN b > 220 AND g > 220 AND r > 220 THEN 1.0 ELSE 0.0 END), 6) AS ratio,
@@ -404,25 +488,34 @@ def red_cells(s, d):
     return segmentation.red_cells(fx.rgb_px(s, d), COLS)
 
 
-#: The mosaic is noise with small objects, so bounds are lower than for tissue.
-NOISE = segmentation.Thresholds(candidate=45, support=25, candidate_area=(3, 1000), separate_area=3, final_area=(2, 1000))
+@query(fx.sql("SELECT CAST(0 AS BIGINT) AS image_id, CAST(g.y AS INT) AS y, CAST(g.x AS INT) AS x, CASE WHEN p.y IS NULL THEN 0 ELSE 255 END AS v FROM (SELECT a.y, b.x FROM range(200) a(y) CROSS JOIN range(200) b(x)) g LEFT JOIN disc_px p ON p.y = g.y AND p.x = g.x", "disc_px"))
+def nucleus_candidates(s, d):
+    """All discs of the painted tissue with their holes filled, and none of the single pixels."""
+    return segmentation.candidates(fx.tissue_px(s, d), COLS)
 
 
-@query()
-def nucleus_candidates(s, d):
-    return segmentation.candidates(fx.rgb_px(s, d), COLS, NOISE)
+def _nuclei(s, d):
+    return segmentation.segment_nuclei(fx.tissue_px(s, d), COLS, tile=64)
 
 
-@query()
+@query(fx.sql("SELECT CAST(0 AS BIGINT) AS image_id, 0 AS status, cy, cx, 1 AS nuclei, true AS alone, true AS sized FROM discs", "discs"))
 def segment_nuclei(s, d):
-    labels, boxes, status = segmentation.segment_nuclei(fx.rgb_px(s, d), COLS, NOISE)
-    return status.join(boxes, "image_id", "left")
+    """For every disc: a nucleus that has its centre, has no other's, and is about as large as the disc."""
+    labels, _, status = _nuclei(s, d)
+    labels = table(labels, "found-nuclei")
+    area = labels.groupBy("label").agg(F.count(F.lit(1)).alias("area"))
+    discs = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(r).alias("rad")) for y, x, r, _ in fx.DISCS])
+    points = s.range(1).select(F.explode(discs).alias("c")).select(F.lit(0).cast("long").alias("image_id"), "c.*")
+    hit = points.join(labels, PIXEL, "left").join(area, "label", "left").join(status, "image_id")
+    own = hit.withColumn("_n", F.count("label").over(Window.partitionBy("label")))
+    sized = (F.col("area") > 2 * F.col("rad") * F.col("rad")) & (F.col("area") < 5 * F.col("rad") * F.col("rad"))
+    return own.select("image_id", "status", F.col("y").alias("cy"), F.col("x").alias("cx"), F.when(F.col("label").isNotNull(), 1).otherwise(0).alias("nuclei"), (F.col("_n") == 1).alias("alone"), sized.alias("sized"))
 
 
 @query()
 def nucleus_features(s, d):
-    labels, _, _ = segmentation.segment_nuclei(fx.rgb_px(s, d), COLS, NOISE)
-    gray = fx.rgb_px(s, d).select(*PIXEL, F.col("b").alias("v"))
+    labels, _, _ = _nuclei(s, d)
+    gray = fx.tissue_px(s, d).select(*PIXEL, F.col("b").alias("v"))
     return rounded(features.all_features(labels, gray))
 
 
@@ -440,6 +533,11 @@ def image_histogram(s, d):
     return histogram.image_histogram(px, px, (10, 20, 100, 100))
 
 
+@query(fx.sql("SELECT image_id, m.v & g.v AS bin, count(*) AS cnt FROM emb_px m JOIN gray2 g USING (image_id, y, x) WHERE g.v > 0 GROUP BY ALL", "gray2"))
+def masked_histogram(s, d):
+    return histogram.masked_histogram(fx.emb_px(s, d), fx.gray2(s, d))
+
+
 def _stats_sql(hist: str, keys: str, prefix: str = "") -> str:
     cols = ["mean", "std", "minimum", "maximum", "median", "first_quartile", "third_quartile", "entropy", "energy", "skewness", "kurtosis"]
     return f"""h AS ({hist}), c AS (SELECT *, sum(cnt) OVER (PARTITION BY {keys} ORDER BY bin) AS cum, sum(cnt) OVER (PARTITION BY {keys}) AS tot FROM h),
@@ -462,6 +560,15 @@ def histogram_statistics(s, d):
     return rounded(histogram.statistics(histogram.object_histogram(fx.obj_px(s, d), fx.gray2(s, d))))
 
 
+@query(fx.sql(f"""+ {_stats_sql(_OBJ_HIST, 'image_id, label')}, every AS (SELECT image_id, CAST(l AS BIGINT) AS label FROM (SELECT DISTINCT image_id FROM emb_px) CROSS JOIN range(1, 6) r(l))
+    SELECT image_id, label, coalesce(n, 0) AS n, coalesce(mean, 0) AS mean, coalesce(minimum, 256) AS minimum, coalesce(maximum, 0) AS maximum, coalesce(median, 0) AS median FROM every LEFT JOIN st USING (image_id, label)""", "obj_px", "gray2"))
+def empty_statistics(s, d):
+    """Labels 1 to 5 of every image, of which the last never has a pixel."""
+    found = histogram.statistics(histogram.object_histogram(fx.obj_px(s, d), fx.gray2(s, d)))
+    every = fx.emb_px(s, d).select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("label"))
+    return rounded(histogram.with_empty(found, every).select("image_id", "label", "n", "mean", "minimum", "maximum", "median"))
+
+
 @query(f"WITH {_stats_sql('SELECT l_suppkey AS label, CAST(l_quantity * 5 AS INT) AS bin, count(*) AS cnt FROM lineitem GROUP BY ALL', 'label')} SELECT * FROM st")
 def load_statistics(s, d):
     hist = fx.li_px(s, d).groupBy("label", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
@@ -482,7 +589,7 @@ def gradient_features(s, d):
     return rounded(features.gradient_features(fx.obj_px(s, d), fx.gray2(s, d)))
 
 
-@query()
+@query(fx.sql(f"+ {_CANNY} SELECT image_id, label, count(*) FILTER (c.v > 0) AS canny_nonzero, round(avg(c.v), 6) AS canny_mean FROM obj_px JOIN can c USING (image_id, y, x) GROUP BY ALL", "obj_px", "gray2", recursive=True))
 def canny_features(s, d):
     return rounded(features.canny_features(fx.obj_px(s, d), fx.gray2(s, d)))
 
@@ -529,7 +636,7 @@ def cytoplasm_gradient(s, d):
     return rounded(features.gradient_features(features.cytoplasm(fx.obj_px(s, d), fx.emb_px(s, d)), fx.gray2(s, d)))
 
 
-@query()
+@query(fx.sql(f"+ {_RING}, {_CANNY} SELECT image_id, label, count(*) FILTER (c.v > 0) AS canny_nonzero, round(avg(c.v), 6) AS canny_mean FROM ring JOIN can c USING (image_id, y, x) GROUP BY ALL", "obj_px", "gray2", recursive=True))
 def cytoplasm_canny(s, d):
     return rounded(features.canny_features(features.cytoplasm(fx.obj_px(s, d), fx.emb_px(s, d)), fx.gray2(s, d)))
 
@@ -564,6 +671,44 @@ def log_by_type(s, d):
     return rounded(eventlog.summary(fx.ev_log(s, d), "type"))
 
 
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(fx.sql("SELECT session, " + ", ".join(
+    f"""nullif(count(*) FILTER (name = '{n}'), 0) AS "{n} count", round(sum(end_us - start_us + 1) FILTER (name = '{n}') / nullif(count(*) FILTER (name = '{n}'), 0)::DOUBLE, 6) AS "{n} mean",
+    CASE count(*) FILTER (name = '{n}') WHEN 0 THEN NULL WHEN 1 THEN -1 ELSE round(sqrt((count(*) FILTER (name = '{n}') * sum((end_us - start_us + 1) * (end_us - start_us + 1)) FILTER (name = '{n}')
+    - sum(end_us - start_us + 1) FILTER (name = '{n}') * sum(end_us - start_us + 1) FILTER (name = '{n}'))::DOUBLE) / count(*) FILTER (name = '{n}'), 6) END AS "{n} stdev\"""" for n in _EVENT_TYPES) + " FROM ev_log GROUP BY session", "ev_log"))
+def log_wide(s, d):
+    wide = eventlog.wide_summary(fx.ev_log(s, d), "name", _EVENT_TYPES)
+    return wide.select("session", *[(F.round(f"`{c}`", 6) if t == "double" else F.col(f"`{c}`")).alias(c) for c, t in wide.dtypes if c != "session"])
+
+
+@query("SELECT event_id AS id, event_type AS name, 31 AS type, CAST(event_id AS BIGINT) AS start_us, CAST(event_id + user_id AS BIGINT) AS end_us, 'user ' || user_id AS annotation FROM events")
+def log_events(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    note = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    return e.select(*eventlog.event(F.col("event_id"), F.col("event_type"), F.col("event_id"), F.col("event_id") + F.col("user_id"), note, "FILE_I"))
+
+
+@query(fx.sql("""SELECT 'v2.1,' || min(start_us) || ',' || max(end_us) AS value FROM ev_log UNION ALL
+    SELECT session || ',' || string_agg(name || ',' || type || ',' || (start_us + 1) || ',' || (end_us + 1), ';' ORDER BY start_us, end_us, name) FROM ev_log GROUP BY session""", "ev_log"))
+def log_file(s, d):
+    """A log written and read back as lines."""
+    path = _folder(s, "log")
+    logs.write_log(fx.ev_log(s, d), path)
+    return s.read.text(path)
+
+
+@query(fx.sql("SELECT session, name, count(*) AS count FROM ev_log GROUP BY ALL", "ev_log"))
+def csv_file(s, d):
+    """Values appended to a CSV file in two parts and read back."""
+    path = _folder(s, "csv")
+    values = fx.ev_log(s, d).groupBy("session", "name").agg(F.count(F.lit(1)).alias("count"))
+    for part in (values.where("name < 'm'"), values.where("name >= 'm'")):
+        logs.append_csv(part, path)
+    return s.read.schema("session string, name string, count long").option("header", True).csv(path)
+
+
 @query(fx.sql("SELECT session, string_agg(name || ',' || type || ',' || (start_us + 1) || ',' || (end_us + 1), ';' ORDER BY start_us, end_us, name) AS line FROM ev_log GROUP BY session", "ev_log"))
 def log_sessions(s, d):
     return eventlog.session_lines(fx.ev_log(s, d))
@@ -600,6 +745,64 @@ def stream_compaction(s, d):
     return compare.compact(fx.gray2(s, d))
 
 
-@query("SELECT image_id, v, count(*) AS n FROM (SELECT CAST(0 AS BIGINT) AS image_id, CASE WHEN (y < 64 AND (y - 32) * (y - 32) + (x % 64 - 32) * (x % 64 - 32) < 1024) OR (y BETWEEN 64 AND 95 AND (y - 80) * (y - 80) + (x % 32 - 16) * (x % 32 - 16) < 256) OR (y BETWEEN 96 AND 111 AND (y - 104) * (y - 104) + (x % 16 - 8) * (x % 16 - 8) < 64) OR (y BETWEEN 112 AND 119 AND (y - 116) * (y - 116) + (x % 8 - 4) * (x % 8 - 4) < 16) OR (y BETWEEN 120 AND 123 AND (y - 122) * (y - 122) + (x % 4 - 2) * (x % 4 - 2) < 4) OR (y BETWEEN 124 AND 125 AND (y - 125) * (y - 125) + (x % 2 - 1) * (x % 2 - 1) < 1) THEN 255 ELSE 0 END AS v FROM range(128) a(y) CROSS JOIN range(128) b(x)) GROUP BY ALL")
+def _phantom_sql(size: int) -> str:
+    """Disks in rows, the radius halving from row to row: pixels by row and value."""
+    inside, top, radius = [], 0, size // 4
+    while radius >= 1 and top + 2 * radius <= size:
+        inside.append(f"(y >= {top} AND y < {top + 2 * radius} AND (y - {top + radius}) * (y - {top + radius}) + (x % {2 * radius} - {radius}) * (x % {2 * radius} - {radius}) < {radius * radius})")
+        top, radius = top + 2 * radius, radius // 2
+    return f"SELECT CAST(0 AS BIGINT) AS image_id, CAST(y AS INT) AS y, CASE WHEN {' OR '.join(inside)} THEN 255 ELSE 0 END AS v, count(*) AS n, sum(x) AS places FROM range({size}) a(y) CROSS JOIN range({size}) b(x) GROUP BY ALL"
+
+
+@query(f"SELECT image_id, y, v, n, CAST(places AS BIGINT) AS places FROM ({_phantom_sql(4096)})")
 def phantom(s, d):
-    return size_phantom(s, 128).groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    """All pixels of the phantom of 4096 x 4096, by row and value."""
+    return size_phantom(s).groupBy("image_id", "y", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("places"))
+
+
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+def _folder(s: SparkSession, what: str) -> str:
+    return f"{shared_dir(s)}/{what}-{uuid.uuid4().hex}"
+
+
+@query(fx.sql("SELECT image_id, 'gray' AS stage, y, x, 0 AS channel, CAST(v AS DOUBLE) AS value FROM emb_px", "emb_px"))
+def raw_files(s, d):
+    """Images written as raw files and read back."""
+    path = _folder(s, "raw")
+    images.write_raw(fx.emb_px(s, d), path, "gray", ["v"])
+    return images.read_raw(s, path, 8, 8)
+
+
+@query(fx.sql("SELECT y, x, b, g, r FROM rgb_px", "rgb_px"))
+def png_files(s, d):
+    """A colour image written as a PNG file and read back by Spark's image source."""
+    path = _folder(s, "png")
+    images.write_png(fx.rgb_px(s, d), path, ["b", "g", "r"])
+    return images.read_images(s, f"{path}/*").select("y", "x", "b", "g", "r")
+
+
+@query(fx.sql("SELECT y, x, v FROM mosaic", "mosaic"))
+def pgm_files(s, d):
+    """A gray image written as a PGM file and read back, by gray values."""
+    path = _folder(s, "pgm")
+    images.write_pgm(fx.mosaic(s, d), path)
+    return images.read_pnm(s, f"{path}/*").select("y", "x", F.col("g").alias("v"))
+
+
+@query(fx.sql("SELECT y, x, CAST(floor(least(greatest(0.298936021293776::DOUBLE*r + 0.587043074451121::DOUBLE*g + 0.114020904255103::DOUBLE*b, 0), 255) + 0.5) AS INT) AS v FROM rgb_px", "rgb_px"))
+def gray_files(s, d):
+    """A colour image read as a gray one."""
+    path = _folder(s, "gray")
+    images.write_png(fx.rgb_px(s, d), path, ["b", "g", "r"])
+    return images.read_images(s, f"{path}/*", "gray").select("y", "x", "v")
+
+
+@query("SELECT unnest(['large', 'difference']) AS stage, unnest([true, true]) AS kept")
+def stage_sink(s, d):
+    """Which of the stages asked for the sink has kept tables of."""
+    sink = images.StageSink(_folder(s, "stages"), {"large", "difference", "labels"})
+    segmentation.candidates(fx.tissue_px(s, d), COLS, on_stage=sink)
+    kept = [(name, not s.read.parquet(f"{sink.path}/{name}").isEmpty()) for name in sink.written]
+    return s.createDataFrame(kept, "stage string, kept boolean")

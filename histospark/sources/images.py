@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import struct
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +16,8 @@ from ..schema import PIXEL
 
 #: Type tags of raw files by numpy type.
 DEPTHS = {"uint8": "8U", "int8": "8S", "uint16": "16U", "int16": "16S", "int32": "32S", "float32": "32F", "float64": "64F"}
+#: Pixels of an image that are turned into rows at a time.
+ROWS = 1 << 18
 COLOUR = "image_id long, path string, y int, x int, b int, g int, r int"
 
 
@@ -24,11 +30,21 @@ def read_images(spark: SparkSession, path: str, mode: str = "colour") -> DataFra
     """PNG, JPEG, BMP by Spark's image source: pixels with b, g, r (``colour``), or v (``gray``), or as stored (``unchanged``: v of gray images, else b, g, r
     of which v is null). Files that can't be read give no pixels; see ``read_status``."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").withColumnRenamed("origin", "path")
-    rows = raw.withColumn("image_id", _image_id()).withColumn("i", F.explode(F.expr("sequence(0, height * width - 1)")))
-    byte = lambda k: F.expr(f"cast(conv(hex(substring(data, i * nChannels + {k} + 1, 1)), 16, 10) as int)")
-    at = rows.withColumns({"y": F.expr("cast(i div width as int)"), "x": F.expr("cast(i % width as int)")})
-    colour = F.col("nChannels") >= 3
-    px = at.select("image_id", "path", "y", "x", byte(0).alias("b"), F.when(colour, byte(1)).otherwise(byte(0)).alias("g"), F.when(colour, byte(2)).otherwise(byte(0)).alias("r"), colour.alias("c"))
+    names = ["image_id", "path", "y", "x", "b", "g", "r", "c"]
+
+    def decoded(batches):
+        """The rows of one image at a time, some ROWS of its lines in a batch."""
+        for batch in batches:
+            for image, name, h, w, channels, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                a = np.frombuffer(data, np.uint8).reshape(h, w, channels)
+                for top in range(0, h, max(1, ROWS // w)):
+                    part = a[top : top + max(1, ROWS // w)]
+                    y, x = (i.ravel() for i in np.mgrid[top : top + len(part), 0:w])
+                    planes = [part[:, :, c if channels >= 3 else 0].ravel() for c in range(3)]
+                    columns = [pa.array(np.full(len(y), image), pa.int64()), pa.array([name]).take(pa.array(np.zeros(len(y), np.int64))), *[pa.array(v, pa.int32()) for v in (y, x, *planes)], pa.array(np.full(len(y), channels >= 3))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    px = raw.select(_image_id().alias("image_id"), "path", "height", "width", "nChannels", "data").mapInArrow(decoded, COLOUR + ", c boolean")
     if mode == "colour":
         return px.drop("c")
     if mode == "gray":
@@ -107,11 +123,59 @@ def raw_name(prefix: str, stage: str, tag: str) -> str:
     return f"{prefix}-{stage}.{tag}.raw"
 
 
+def _write_files(blobs: DataFrame, path: str) -> None:
+    """A file for each row (name, content) below ``path``, in a folder ``name=<name>``, by Spark's text sink, which writes a line break after
+    the content. Any file system and a lost task's second attempt are the sink's business."""
+    blobs.select("name", F.col("content").cast("string").alias("value")).write.mode("append").partitionBy("name").text(path)
+
+
 def write_raw(px: DataFrame, path: str, stage: str, columns: list[str], dtype: str = "uint8") -> None:
-    """Raw images with their names, as a table below ``path`` that any file system takes: name, h, w, content."""
+    """Images as files of row-major interleaved values without a header, in folders named like ``name=7-gray.8UC1.raw``."""
     blobs = as_blobs(px, columns, dtype)
     name = F.concat(F.col("image_id").cast("string"), F.lit(f"-{stage}."), F.col("tag"), F.lit(".raw"))
-    blobs.select(name.alias("name"), "h", "w", "content").write.mode("append").parquet(path)
+    _write_files(blobs.select(name.alias("name"), "content"), path)
+
+
+def read_raw(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
+    """(image_id, stage, y, x, channel, value) of the files that ``write_raw`` wrote, all of one size; their names say the type."""
+    depths = {tag: dtype for dtype, tag in DEPTHS.items()}
+    names = ["image_id", "stage", "y", "x", "channel", "value"]
+
+    def parsed(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                image, stage, depth, channels = re.search(r"name=(-?\d+)-(.*)\.(\d+[USF])C(\d+)\.raw/", file).groups()
+                n = int(channels)
+                values = np.frombuffer(content, depths[depth], height * width * n)
+                y, x, c = (i.ravel() for i in np.mgrid[0:height, 0:width, 0:n])
+                columns = [pa.array(np.full(len(y), int(image)), pa.int64()), pa.array([stage] * len(y)), *[pa.array(i, pa.int32()) for i in (y, x, c)], pa.array(values.astype(float))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInArrow(parsed, "image_id long, stage string, y int, x int, channel int, value double")
+
+
+def png_bytes(a: np.ndarray) -> bytes:
+    """A PNG of 8-bit values (h, w, 1: gray, or 3: red, green, blue)."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    h, w, channels = a.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), a.astype(np.uint8).reshape(h, -1)], axis=1)
+    head = struct.pack(">IIBBBBB", w, h, 8, 2 if channels == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def write_png(px: DataFrame, path: str, columns: list[str]) -> None:
+    """Images as PNG files, in folders ``name=<image_id>.png``; ``columns`` are one gray plane, or blue, green and red."""
+
+    def packed(batches):
+        for batch in batches:
+            names, out = [], []
+            for image, h, w, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                names.append(f"{image}.png")
+                out.append(png_bytes(np.frombuffer(content, np.uint8).reshape(h, w, len(columns))[:, :, ::-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], ["name", "content"])
+
+    _write_files(as_blobs(px, columns).select("image_id", "h", "w", "content").mapInArrow(packed, "name string, content binary"), path)
 
 
 def write_pgm(px: DataFrame, path: str, column: str = "v") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from histospark.functions import pixels as p
 from histospark.kernels import arrays as k
+from histospark.kernels import arrays as kernels
 from histospark.operators import compare, components, eventlog, features, geodesic, histogram, layout, neighbors, watershed
 from histospark.plans import segmentation
 from histospark.sources import images as io
@@ -155,8 +156,11 @@ def test_images_from_files(spark, tmp_path):
     io.write_pgm(img, str(tmp_path / "out"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["P2", "2 2", "255", "5 6", "7 8"]
     io.write_raw(img, str(tmp_path / "raw"), "gray", ["v"])
-    raw = spark.read.parquet(str(tmp_path / "raw")).first()
-    assert raw["name"] == "0-gray.8UC1.raw" and bytes(raw["content"]) == bytes([5, 6, 7, 8]) and io.raw_name("0", "gray", "8UC1") == raw["name"]
+    raw = next((tmp_path / "raw" / f"name={io.raw_name('0', 'gray', '8UC1')}").glob("part-*"))
+    assert raw.read_bytes()[:4] == bytes([5, 6, 7, 8])
+    bytes_ = px(spark, np.arange(256).reshape(16, 16))
+    io.write_raw(bytes_, str(tmp_path / "all"), "gray", ["v"])
+    assert {(r["y"] * 16 + r["x"], r["value"]) for r in io.read_raw(spark, str(tmp_path / "all"), 16, 16).collect()} == {(i, float(i)) for i in range(256)}
 
 
 def test_png_by_the_image_source(spark, tmp_path):
@@ -188,3 +192,67 @@ def test_new_images_as_a_stream(spark, tmp_path):
     query = ingest.process(stream, lambda df: components.label(df, 2, 8), str(tmp_path / "out"), str(tmp_path / "state"), once=True)
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("label").distinct().count() == 1
+
+
+def traced(mask):
+    """The boundary of a component's outer contour by walking around it: its points, and twice the area within their line."""
+    h, w = mask.shape
+    at = lambda y, x: 0 <= y < h and 0 <= x < w and mask[y, x]
+    ring = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    y, x = next(zip(*np.nonzero(mask), strict=True))
+    start, came, points, first = (y, x), 4, [], None
+    while True:
+        step = next((k for k in range(came + 1, came + 9) if at(y + ring[k % 8][0], x + ring[k % 8][1])), None)
+        if step is None:
+            return 1, 0
+        move = ((y, x), step % 8)
+        if move == first:
+            break
+        first = first or move
+        points.append((y, x))
+        y, x, came = y + ring[step % 8][0], x + ring[step % 8][1], (step + 4) % 8
+    assert points[0] == start
+    twice = sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(points, points[1:] + points[:1], strict=True))
+    return len(points), abs(twice)
+
+
+def test_contours_against_tracing(spark):
+    rng = np.random.default_rng(7)
+    masks = [rng.random((9, 9)) < 0.55 for _ in range(25)] + [np.ones((5, 7), bool), np.eye(6, dtype=bool), np.ones((1, 1), bool), np.ones((1, 6), bool)]
+    ring = np.ones((7, 7), bool)
+    ring[2:5, 2:5] = False
+    masks.append(ring)
+    for k, mask in enumerate(masks):
+        parts = kernels.label(mask.astype(int), 8)
+        for root in np.unique(parts[parts >= 0]):
+            one = parts == root
+            area, filled, polygon, points, net = kernels.contour_measures(one)
+            solid = kernels.outer_filled(one)
+            n, twice = traced(solid)
+            assert (2 * polygon, filled, area) == (twice, solid.sum(), one.sum()), k
+            assert points == (n if filled > 1 else 0)
+            if area == filled:
+                assert net == round(polygon) + points // 2 + 1
+    # The ring's line is 6 x 6 with 24 points, that around its hole 4 x 4 less its corners with 12 points.
+    assert kernels.contour_measures(ring) == (40, 49, 36.0, 24, 36 + 12 + 1 - (14 + 6 + 1))
+
+
+def test_tiles_and_strips_agree_with_whole_images(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 256, (23, 31))
+    image = px(spark, v)
+    whole, cut = (array(watershed.canny(image, tile=t), v.shape) for t in (None, 8))
+    assert (whole == cut).all() and 0 < whole.sum() < whole.size * 255
+    blobs = px(spark, (v > 30).astype(int))
+    far = array(geodesic.distance(blobs, strip=5), v.shape, fill=0.0)
+    assert np.allclose(far**2, kernels.squared_distance((v > 30).astype(int)))
+    assert set(array(geodesic.distance(px(spark, np.ones((6, 6), int)), strip=2), (6, 6)).ravel()) == {-1}
+
+
+def test_nested_contours_have_the_label_of_the_outermost(spark):
+    m = np.zeros((12, 12), int)
+    m[1:9, 1:9], m[2:8, 2:8], m[4:6, 4:6], m[10, 10] = 1, 0, 1, 1
+    got = array(components.label_contours(px(spark, m).where("v = 1"), 12, 8), m.shape, "label")
+    want = np.zeros((12, 12), int)
+    want[1:9, 1:9], want[10, 10] = 1, 2
+    assert (got == want).all()
