@@ -37,4 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         table = fresh
         labels = fresh.select("node", "root")
         if fresh.where("old != root").isEmpty():
+            discard(both)
+            discard(hubs)
             return labels

@@ -19,7 +19,7 @@ from .exact_dedup import FILTER_BITS, SALTS, without_rows
 from .graph import components
 from .regions import joined, least_common
 from .shingles import cuts, set_ids, shingle_sets
-from .storage import numbered, stored
+from .storage import discard, numbered, stored
 
 BLOCK_ENTRIES = 1 << 20
 BUCKET_ENTRIES = 400_000
@@ -300,8 +300,8 @@ def _unpacked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(one, np.int64)), pa.array(np.frombuffer(two, np.int64))], ["a", "b"])
 
 
-def _region_edges(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all sets (set_id, hashes, n) which can be similar by where they have a first shingle in common, the order being from
+def _region_edges(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b), and the stored tables that they are read from, that connect all sets (set_id, hashes, n) which can be similar by where they have a first shingle in common, the order being from
     rare to common. How common a shingle is, is exact. A shingle that many sets have is one entry in a block of sets, so that no
     bucket gets more than a row of it from each block."""
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -309,11 +309,12 @@ def _region_edges(sets: DataFrame) -> DataFrame:
     blocks = stored(sets.select("set_id", "hashes").mapInArrow(_blocks, "block long, sets binary, sizes binary, hashes binary"), "set-blocks")
     totals = blocks.select("block", "hashes").mapInArrow(_counted(buckets), PAIRS).groupBy("bucket").applyInArrow(_totals, PAIRS)
     heads = stored(blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_heads, PAIRS), "set-heads")
-    few = max(8, -(-total // (4 * BUCKET_ENTRIES)))
+    few = max(8, -(-total // (4 * BUCKET_ENTRIES)))  # heads are about a quarter
     stars = stored(heads.mapInArrow(_to_buckets(few), PAIRS).groupBy("bucket").applyInArrow(_stars, PAIRS), "set-stars")
     closed = heads.where(F.col("kind") == CLOSED).groupBy("block").cogroup(stars.where(F.col("kind") == CLOSED).groupBy("block")).applyInArrow(_closed, PAIRS)
     edges = heads.where(F.col("kind") == EDGES).unionByName(stars.where(F.col("kind") == EDGES)).unionByName(closed)
-    return edges.select("one", "two").mapInArrow(_unpacked, "a long, b long")
+    discard(blocks)
+    return edges.select("one", "two").mapInArrow(_unpacked, "a long, b long"), [heads, stars]
 
 
 def _spread_by(rows: DataFrame, small: DataFrame, key: str, own: str) -> DataFrame:
@@ -379,9 +380,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = _sharing(some.select("set_id", "hashes"), _stored_sets, buckets, lambda n: n)
     keep = whole.join(some.select("set_id", "n"), "set_id").where(F.col("shared") >= F.ceil(F.col("n") * 3 / 4)).select("set_id")
     left = stored(some.join(keep, "set_id", "left_semi"), "sharing-sets")
-    regions = components(_region_edges(left))
+    discard(some)
+    edges, tables = _region_edges(left)
+    regions = components(edges)
+    for done in tables:
+        discard(done)
     placed = left.join(regions, left["set_id"] == regions["node"]).select(F.col("root").alias("region"), "set_id", "n", F.col("set_id").alias("label"), F.lit(True).alias("home"), "hashes")
-    found = joined(stored(placed, "regions"))
+    placed = stored(placed, "regions")
+    discard(left)
+    found = joined(placed)
+    discard(placed)
 
     members = found.join(classes.select("set_id", "rep"), "set_id")
     least = members.groupBy("root").agg(F.min("rep").alias("component"))

@@ -269,8 +269,10 @@ def joined(members: DataFrame) -> DataFrame:
         if not grown.isEmpty():
             edges.append(_by_blocks(fresh.join(grown.select("region"), "region", "left_semi").select(*COLUMNS), grown))
         members = dealt.join(grown, dealt["above"] == grown["region"], "left_anti").select(*COLUMNS)
-    out = edges[0] if edges else members.select("set_id", F.col("set_id").alias("root")).limit(0)
-    if len(edges) < 2:
+    if not edges:
+        return members.sparkSession.createDataFrame([], schema)
+    out = edges[0]
+    if len(edges) == 1:
         return out
     for more in edges[1:]:
         out = out.unionByName(more)
