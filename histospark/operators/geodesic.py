@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import arrays as k
-from ..plans.fixpoint import until_stable
-from ..plans.storage import table
+from ..plans.storage import discard, table
 from ..plans.tiles import TILE, arrays, per_image, rows, tiled
 from ..schema import OBJECT, PIXEL
 from .components import label
@@ -28,11 +27,48 @@ def _as_table(row: dict) -> pa.Table:
     return pa.table({c: pa.array([row[c].tobytes() if isinstance(row[c], np.ndarray) else row[c]], t) for c, t in kinds.items()})
 
 
+TILE_KEY = ["image_id", "ty", "tx"]
+#: After so many rounds the versions of all tiles are written into one table.
+COMPACT = 16
+
+
+def _by_rounds(tiles: DataFrame, seams, go_on) -> DataFrame:
+    """Tiles (BLOB) after rounds of ``go_on`` for those that ``seams`` of the tiles changed before address, until none changes."""
+    versions = [tiles.withColumn("round", F.lit(0))]
+    latest, fresh, number = table(versions[0].select(*TILE_KEY, "round"), "tile-versions"), tiles, 0
+    while True:
+        number += 1
+        halos = table(seams(fresh), "halos")
+        wanted = halos.select(*TILE_KEY).distinct().join(latest, TILE_KEY)
+        active = _latest(versions, wanted).drop("round")
+        after = active.groupBy(*TILE_KEY).cogroup(halos.groupBy(*TILE_KEY)).applyInArrow(go_on, BLOB).where("changed")
+        fresh = table(after, "tiles")
+        discard(halos)
+        if fresh.isEmpty():
+            return _latest(versions, latest).drop("round")
+        before = latest
+        moved = fresh.select(*TILE_KEY, F.lit(number).alias("_new"))
+        latest = table(latest.join(moved, TILE_KEY, "left").select(*TILE_KEY, F.coalesce("_new", "round").alias("round")), "tile-versions")
+        discard(before)
+        versions.append(fresh.withColumn("round", F.lit(number)))
+        if len(versions) > COMPACT:
+            versions = [table(_latest(versions, latest), "tiles")]
+
+
+def _latest(versions: list[DataFrame], keys: DataFrame) -> DataFrame:
+    """The rows of all versions with a key and round of ``keys``."""
+    every = versions[0]
+    for more in versions[1:]:
+        every = every.unionByName(more)
+    return every.join(keys, [*TILE_KEY, "round"], "left_semi")
+
+
 def reconstruct(px: DataFrame, connectivity: int, tile: int = TILE) -> DataFrame:
     """(image_id, y, x, v) from pixels with marker and mask: the fixpoint of ``min(dilate(marker), mask)``.
 
     Each tile is brought to its own fixpoint; then tiles that changed send their outermost pixels to their neighbours, which go on
-    from there, until no tile changes. A round moves seams, not pixels, apart from the tiles that it rewrites.
+    from there, until no tile changes. A round shuffles seams and the tiles that are sent some, and writes only tiles that changed; a small table
+    tells each tile's latest version.
     """
 
     def start(t: pa.Table) -> pa.Table:
@@ -77,13 +113,9 @@ def reconstruct(px: DataFrame, connectivity: int, tile: int = TILE) -> DataFrame
         v = k.reconstruct(wide["marker"], wide["mask"], connectivity)[1:-1, 1:-1]
         return _as_table(row | {"marker": v, "changed": bool((v != row["marker"]).any())})
 
-    def step(state: DataFrame) -> DataFrame:
-        halos = state.where("changed").mapInArrow(seams, "image_id long, ty int, tx int, y int, x int, v double")
-        return state.groupBy("image_id", "ty", "tx").cogroup(halos.groupBy("image_id", "ty", "tx")).applyInArrow(go_on, BLOB)
-
     several = tiles.groupBy("image_id").count().where("count > 1")
     if not several.isEmpty():
-        tiles = until_stable(tiles, step, "tiles")
+        tiles = _by_rounds(tiles, lambda t: t.mapInArrow(seams, "image_id long, ty int, tx int, y int, x int, v double"), go_on)
 
     def pixels(batches):
         for batch in batches:

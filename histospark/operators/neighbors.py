@@ -12,9 +12,9 @@ Offsets = list[tuple[int, int]]
 
 CROSS: Offsets = [(-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)]
 SQUARE: Offsets = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-#: Ones of the 17 x 17 disk of radius 8.
+#: The structuring elements of the pipeline. Ones of the 17 x 17 disk of radius 8.
 DISK17: Offsets = [(dy, dx) for dy in range(-8, 9) for dx in range(-8, 9) if dy * dy + dx * dx <= 64]
-#: Ones of the 19 x 19 octagon: each of the four outer rows is shorter by one at both ends than the next one.
+#: Ones of the 19 x 19 octagon: each of the four outer rows is shorter by one at both ends than the next one.
 DISK19: Offsets = [(i - 9, j - 9) for i in range(19) for j in range(19) if max(0, 4 - min(i, 18 - i)) <= j < 19 - max(0, 4 - min(i, 18 - i))]
 
 
