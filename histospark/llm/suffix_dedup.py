@@ -379,6 +379,23 @@ def _maybe(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return marked.select("_id", "_row", "_text", F.expr(f"coalesce(shiftright({byte}, cast({own} % 8 as int)) & 1, 0) = 1").alias("_maybe"))
 
 
+def _with_contents(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """OPEN rows of ``chosen`` (doc, row, start, size, at, anchor) with their bytes from ``rows`` (_id, _row, _text), which are read once more."""
+    wanted = chosen.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "size", "at", "anchor")).alias("wanted"))
+    likely = _maybe(rows, chosen.select("doc")).where("_maybe")
+
+    def contents(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for k, row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                raw = text.as_py().encode()
+                out += [(s["anchor"], k, row, s["start"], s["at"], raw[s["start"] : s["start"] + s["size"]]) for s in spans]
+            yield _open_batch(out)
+
+    texts = likely.join(wanted, (likely["_id"] == wanted["doc"]) & (likely["_row"] == wanted["row"])).select("_id", "_row", "_text", "wanted")
+    return stored(texts.mapInArrow(contents, OPEN), "open-stretches")
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(doc, row, start, size) of spans to remove from ``rows`` (_id, _row, _text), overlapping ones included."""
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
@@ -403,21 +420,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     met = rows.mapInArrow(cut, "bucket int, stretches binary, done binary").groupBy("bucket").applyInArrow(_met, MET)
     met = stored(met, "stretches")
     open_ = met.where("NOT whole")
-    wanted = open_.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "size", "at", "anchor")).alias("wanted"))
-    likely = _maybe(rows, open_.select("doc")).where("_maybe")
     held = open_.agg(F.sum("size")).first()[0] or 0
     n_buckets = max(8, -(-held // BUCKET_BYTES))
 
-    def contents(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for k, row, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                raw = text.as_py().encode()
-                out += [(s["anchor"], k, row, s["start"], s["at"], raw[s["start"] : s["start"] + s["size"]]) for s in spans]
-            yield _open_batch(out)
-
-    texts = likely.join(wanted, (likely["_id"] == wanted["doc"]) & (likely["_row"] == wanted["row"])).select("_id", "_row", "_text", "wanted")
-    few, spans = _bounded(stored(texts.mapInArrow(contents, OPEN), "open-stretches"))
+    few, spans = _bounded(_with_contents(rows, open_))
     dealt = few.select(F.pmod("key", F.lit(n_buckets)).cast("int").alias("bucket"), *PLACE, "content")
     covered = dealt.groupBy("bucket").applyInArrow(_covered, "doc long, row long, start long, size long")
     for more in (met.where("whole").select(*PLACE, "size"), *spans):
@@ -425,6 +431,87 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     return stored(covered, "covered")
 
 
+PART = "repeat_id long, size long, doc long, row long, start long, offset long"
+
+
+def _grouped(table: pa.Table) -> pa.Table:
+    """PART rows of a bucket: the repeats within its stretches (doc, row, start, content, n copies), by the stretches and places that have them; a
+    stretch with copies is a repeat itself, if it isn't part of another."""
+    contents, copies = table.column("content").to_pylist(), table.column("n").to_pylist()
+    longest, out = [0] * len(contents), []
+    for size, owner, offset in repeats(contents):
+        first = int(owner[0])
+        string = contents[first][int(offset[0]) : int(offset[0]) + size]
+        out.append((string, size, owner, offset))
+        for k in owner[offset == 0].tolist():
+            longest[k] = max(longest[k], size)
+    for k, content in enumerate(contents):
+        if copies[k] > 1 and longest[k] < len(content):
+            out.append((content, len(content), np.array([k]), np.array([0])))
+    if not out:
+        return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in PART.split(", ")})
+    owner, offset = (np.concatenate([x[i] for x in out]) for i in (2, 3))
+    many = [len(x[2]) for x in out]
+    names = np.repeat(np.array([_string_id(x[0]) for x in out], np.int64), many)
+    place = [table.column(c).to_numpy()[owner] for c in PLACE]
+    return pa.table({"repeat_id": names, "size": np.repeat(np.array([x[1] for x in out], np.int64), many), **dict(zip(PLACE, place, strict=True)), "offset": offset.astype(np.int64)})
+
+
+def _string_id(string: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+
+
+def _windows(batches):
+    """PART rows of single windows of stretches (OPEN)."""
+    for batch in batches:
+        out: list[tuple] = []
+        for _, doc, row, start, _, content in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            out += [(_string_id(content[k : k + LENGTH]), LENGTH, doc, row, start, k) for k in range(len(content) - LENGTH + 1)]
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in PART.split(", ")])
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Repeated strings of LENGTH bytes or more with all their occurrences: repeat_id (a hash of the string), size, ``id_col``, start, a row for each
+    place in the corpus that has the string.
+
+    The strings are the maximal repeats among the stretches of one anchor, so a repeat that is longer than a stretch is a chain of them, each
+    overlapping the next by all but a byte of a window; together the strings cover every repeated window. Of an anchor with more than SPLIT
+    different stretches the strings are single windows. A stretch is cut where a piece of BLOCK_BYTES ends. Null ids and texts, repeated
+    ids and empty tables are as with ``remove_repeats``. Only strings that occur twice at least are grouped; occurrences are joined, never collected.
+    """
+    narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    known, row = numbered(narrow.where("_id IS NOT NULL"), "_id", "_text")
+    known = known.select("_id", F.col("_row") if row else F.lit(0).cast("long").alias("_row"), "_text")
+
+    def placed(batches):
+        for batch in batches:
+            ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            found = stretches(ids, [t.as_py().encode() for t in batch.column(2)])
+            columns = [found[c].view(np.int64) if found[c].dtype == np.uint64 else found[c].astype(np.int64) for c in ("anchor", "content", *PLACE, "size", "at")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["anchor", "kind", *PLACE, "size", "at"])
+
+    places = stored(known.mapInArrow(placed, "anchor long, kind long, doc long, row long, start long, size long, at long"), "all-stretches")
+    one = F.min(F.struct(*PLACE, "size", "at")).alias("f")
+    kinds = stored(places.groupBy("anchor", "kind").agg(one, F.count(F.lit(1)).alias("n")).select("anchor", "kind", "f.*", "n"), "kinds")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("anchor", "kinds")
+    some = stored(kinds.join(several, "anchor"), "repeated-kinds")
+    alone = some.where("kinds = 1").select(F.col("kind").alias("repeat_id"), "size", *PLACE, F.lit(0).cast("long").alias("offset"))
+    open_ = _with_contents(known, some.where("kinds > 1"))
+    hot = stored(open_.groupBy("key").count().where(f"count > {SPLIT}").select("key"), "hot-anchors")
+    copies = some.select(*PLACE, "n")
+    few = open_.join(hot, "key", "left_anti").join(copies, PLACE)
+    buckets = max(8, -(-(open_.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // BUCKET_BYTES))
+    met = few.select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), *PLACE, "content", "n").groupBy("bucket").applyInArrow(_grouped, PART)
+    single = stored(open_.join(hot, "key", "left_semi").select(*[c.split()[0] for c in OPEN.split(", ")]).mapInArrow(_windows, PART), "single-windows")
+    often = single.join(copies, PLACE).groupBy("repeat_id").agg(F.sum("n").alias("many")).where("many > 1").select("repeat_id")
+    found = alone.unionByName(met).unionByName(single.join(often, "repeat_id", "left_semi").select(*[c.split()[0] for c in PART.split(", ")]))
+    kept = some.select("anchor", "kind", *[F.col(c).alias(f"_{c}") for c in PLACE])
+    every = places.join(kept, ["anchor", "kind"])
+    on = (found["doc"] == every["_doc"]) & (found["row"] == every["_row"]) & (found["start"] == every["_start"])
+    return found.join(every, on).select("repeat_id", found["size"], every["doc"].alias(id_col), (every["start"] + found["offset"]).alias("start"))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs (start, end) of spans (start, size)."""
     out: list[list[int]] = []

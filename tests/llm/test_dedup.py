@@ -325,6 +325,35 @@ def test_hot_anchors_are_split(spark, monkeypatch, split):
     assert {r["doc_id"]: tuple(r)[1:] for r in sd.remove_repeats(docs).collect()} == brute_removal(rows)
 
 
+@pytest.mark.parametrize("split", [5, 2000])
+def test_repeat_groups_have_all_occurrences(spark, monkeypatch, split):
+    """Each group's string is at its places and nowhere else in the corpus, and every repeated window is in one."""
+    from histospark.llm import suffix_dedup as sd
+
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 115, n)))
+    passage, other = letters(420), letters(150)
+    texts = [letters(rng.integers(0, 60)) + passage[rng.integers(0, 90) : 330 + rng.integers(0, 90)] + letters(rng.integers(0, 60)) for _ in range(14)]
+    texts += texts[:4] + [other, other + "x", "y" + other + passage, "ab" * 120, None, letters(300)]
+    monkeypatch.setattr(sd, "SPLIT", split)
+    got = sd.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    raw = [(t or "").encode() for t in texts]
+    strings, places = {}, {}
+    for r in got:
+        strings.setdefault(r["repeat_id"], set()).add(raw[r["doc_id"]][r["start"] : r["start"] + r["size"]])
+        places.setdefault(r["repeat_id"], []).append((r["doc_id"], r["start"]))
+    for k, own in strings.items():
+        (string,) = own
+        at = [(d, i) for d, t in enumerate(raw) for i in range(len(t)) if t.startswith(string, i)]
+        assert len(string) >= 100 and len(at) > 1 and sorted(places[k]) == at
+    windows = {}
+    for d, t in enumerate(raw):
+        for i in range(len(t) - 99):
+            windows.setdefault(t[i : i + 100], []).append((d, i))
+    held = {s[i : i + 100] for own in strings.values() for s in own for i in range(len(s) - 99)}
+    assert held == {w for w, at in windows.items() if len(at) > 1}
+
+
 def test_parts_of_a_stretch_hold_all_windows():
     from histospark.llm import suffix_dedup as sd
 
