@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact_dedup import content_groups, hash_lanes
-from .storage import stored
+from .storage import numbered, stored
 
 #: Documents whose ids share all but the lowest six bits are ordered together: at most 64 different ids.
 DOC_BITS = 6
@@ -53,10 +53,16 @@ def successors(keys: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (_id, _text) with _next, the text of the document that follows by id; the first follows the last.
 
-    Texts move once, to the block of their id; besides, each block's first text moves to the block before.
+    Texts move once, to the block of their id; besides, each block's first text moves to the block before. Where ids repeat, rows are sorted by id
+    and a hash of their text first, and their places in that order stand for the ids, so that a block has 64 rows in any case.
     """
-    blocked = docs.withColumn("_block", F.shiftright("_id", DOC_BITS))
-    order = Window.partitionBy("_block").orderBy("_id", "_text")
+    docs, row = numbered(docs, "_id", "_text")
+    if row:
+        docs = stored(docs.select("_id", "_text").orderBy("_id", F.xxhash64("_text")).withColumn("_k", F.monotonically_increasing_id()), "ordered-rows")
+    else:
+        docs = docs.withColumn("_k", F.col("_id"))
+    blocked = docs.withColumn("_block", F.shiftright("_k", DOC_BITS))
+    order = Window.partitionBy("_block").orderBy("_k")
     placed = blocked.select(
         "*",
         F.lead("_text").over(order).alias("_lead"),
@@ -86,7 +92,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document by id. An exact digest knows equal from different only: likeness is 1 where fingerprints and canonical bytes are
     equal, else 0. Returns ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     group_id, group_size. Null texts count as empty. Documents without an id have no place in the order and are followed by
-    themselves; of rows with the same id, the one with the smaller text comes first. An empty table gives an empty result.
+    themselves; rows with the same id follow each other in the order of a hash of their texts. An empty table gives an empty result; texts of
+    any length are handled whole, and other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     ordered = with_next(rows.where("_id IS NOT NULL"))

@@ -93,6 +93,25 @@ def test_fingerprints_of_odd_rows(odd, empty):
     assert fingerprint_edits(empty).count() == 0
 
 
+def test_fingerprints_of_repeated_ids(again):
+    """Some order of the rows of an id gives the edited texts."""
+    docs, rows = again
+    got = fingerprint_edits(docs).collect()
+    assert len(got) == len(rows)
+    known = sorted((i, t or "") for i, t in rows if i is not None)
+    by_id = [[t for j, t in known if j == i] for i in sorted({i for i, _ in known})]
+    want = sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got if r["doc_id"] is not None)
+    found = False
+    for orders in itertools.product(*[sorted(set(itertools.permutations(x))) for x in by_id]):
+        texts = [(i, t) for i, x in zip(sorted({i for i, _ in known}), orders, strict=True) for t in x]
+        edited = []
+        for k, (i, t) in enumerate(texts):
+            after, half = texts[(k + 1) % len(texts)][1], len(t) // 2
+            edited.append((i, len(t), sha(t[: len(t) - half] + after[:half])))
+        found |= sorted(edited) == want
+    assert found
+
+
 @pytest.mark.parametrize("keys", [[], [5], [1, 2, 3], [-(1 << 62), -7, 0, 9, 1 << 40, (1 << 62) + 5], list(range(0, 5000, 3))])
 def test_successors(spark, keys):
     got = {r["k"]: r["next"] for r in successors(spark.createDataFrame([(k,) for k in keys], "k long")).collect()}
