@@ -60,7 +60,8 @@ def _form(kind: str, group: int = 1) -> str:
 
 
 #: ymd and dmy each have one group, which the second sees as group 2.
-PATTERN = "|".join(_form(k, 2 if k == "dmy" else 1) for k in FORMS)
+#: A form begins with a digit, + or (, or it doesn't follow a letter; saying so once keeps the places within words cheap.
+PATTERN = r"(?:(?<!\p{L})|(?=[0-9+(]))(?:" + "|".join(_form(k, 2 if k == "dmy" else 1) for k in FORMS) + ")"
 
 
 def _text(s: str) -> str:
