@@ -19,7 +19,7 @@ from .exact_dedup import FILTER_BITS, SALTS, without_rows
 from .graph import components
 from .regions import joined, least_common
 from .shingles import cuts, set_ids, shingle_sets
-from .storage import discard, numbered, stored
+from .storage import discard, numbered, release, stored
 
 BLOCK_ENTRIES = 1 << 20
 BUCKET_ENTRIES = 400_000
@@ -120,15 +120,14 @@ def _sharing(source: DataFrame, sets_of, buckets: int, length) -> DataFrame:
 
 
 def _among(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (_id, _text) with an id of ``chosen`` (_id, set_id). A bitmap of fixed size keeps most others out of
+    """(_text, set_id) of the rows of ``docs`` (_id, _text) with an id of ``chosen`` (_id, set_id). A bitmap of fixed size keeps most others out of
     the shuffle; the join behind it is exact."""
     place = f"pmod(xxhash64(_id), {FILTER_BITS})"
     bits = chosen.select(F.expr(f"{place} div 32768").alias("_part"), F.expr(f"{place} % 32768").alias("_bit"))
     maps = F.broadcast(bits.groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map")))
     byte = f"cast(conv(hex(substring(_map, cast({place} % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
     near = docs.withColumn("_part", F.expr(f"{place} div 32768")).join(maps, "_part").where(f"shiftright({byte}, cast({place} % 8 as int)) & 1 = 1")
-    ids = chosen.select(F.col("_id").alias("_c")).distinct()
-    return near.select("_id", "_text").join(ids, F.col("_id").eqNullSafe(F.col("_c")), "left_semi")
+    return near.select("_id", "_text").join(chosen, "_id").select("_text", "set_id")
 
 
 def _blocks(batches):
@@ -324,6 +323,7 @@ def _spread_by(rows: DataFrame, small: DataFrame, key: str, own: str) -> DataFra
     return salted.join(spread, [key, "_s"]).drop("_s")
 
 
+SET = "set_id long, hashes binary, n long"
 #: What the second half of a set's id is changed by where it has to stand for the first.
 STAND_IN = 0x5DEECE66D
 
@@ -369,18 +369,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sharing = _sharing(rows.select("_text"), from_texts, buckets, head_length)
     enough = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * 3 / 4) / 8))
     chosen = stored(sharing.join(classes, "set_id").where(F.col("shared") >= enough).select(F.col("rep").alias("_id"), "set_id"), "sharing-heads")
+    release(docs.sparkSession)
 
     def with_sets(batches):
+        """Sets of texts that have the id of the set's representative; other texts may have that id as well."""
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0)))
-            columns = [pa.array([name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            out = [(k, s) for s, k, e in ((s, name(s), e) for s, e in zip(shingle_sets(batch.column(0)), batch.column(1).to_pylist(), strict=True)) if e is None or e == k]
+            columns = [pa.array([k for k, _ in out], pa.int64()), pa.array([s.tobytes() for _, s in out], pa.binary()), pa.array([len(s) for _, s in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["set_id", "hashes", "n"])
 
-    some = stored(_among(rows.select("_id", "_text"), chosen).select("_text").mapInArrow(with_sets, "set_id long, hashes binary, n long").join(chosen.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "some-sets")
+    some = stored(_among(rows.select("_id", "_text"), chosen.where("_id IS NOT NULL")).mapInArrow(with_sets, SET), "some-sets")
+    wanted = chosen.select("set_id").distinct().count()
+    if some.count() != wanted or not chosen.where("_id IS NULL").isEmpty():  # rows that repeat an id, or sets of rows without one
+        nameless = rows.where("_id IS NULL").select("_text", F.lit(None).cast("long").alias("set_id")).mapInArrow(with_sets, SET)
+        some = stored(some.unionByName(nameless).join(chosen.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "some-sets")
     whole = _sharing(some.select("set_id", "hashes"), _stored_sets, buckets, lambda n: n)
     keep = whole.join(some.select("set_id", "n"), "set_id").where(F.col("shared") >= F.ceil(F.col("n") * 3 / 4)).select("set_id")
     left = stored(some.join(keep, "set_id", "left_semi"), "sharing-sets")
     discard(some)
+    release(docs.sparkSession)
     edges, tables = _region_edges(left)
     regions = components(edges)
     for done in tables:

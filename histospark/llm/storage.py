@@ -6,6 +6,7 @@ executor can reach, so that a lost executor costs a re-read and never a recomput
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,13 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver let go of what finished jobs leave: executors keep shuffle files until the driver's objects for them are collected, which in a
+    long chain of jobs with a large heap may come late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores after it until ``df`` has no such column in any case."""
     taken = {c.lower() for c in df.columns}
