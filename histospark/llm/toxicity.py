@@ -36,6 +36,8 @@ RATE = 200
 #: Near copies share a pair of smallest hashes in one of BANDS bands.
 BANDS = 6
 OFTEN = "\t"
+#: Features that a task holds before it sends them on.
+HELD = 50_000
 #: So many words are added to the length of every text, so that one word of a very short one is not all of it.
 SMOOTH = 20
 
@@ -176,7 +178,11 @@ def _having(rows: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
     features, each of which needs no more families than one above its number."""
     shared = rows.sparkSession.sparkContext.broadcast(most)
 
+    def rows_of(having):
+        return pa.RecordBatch.from_arrays([pa.array(having, pa.string()), pa.array(map(list, having.values()), pa.list_(pa.int64()))], ["f", "families"])
+
     def found(batches):
+        """Families by feature, HELD features at a time, so that a task's memory doesn't follow its texts."""
         most, having = shared.value, {}
         for batch in batches:
             for text, family in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -185,7 +191,10 @@ def _having(rows: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
                     families = having.setdefault(f, set())
                     if most is None or len(families) <= most[f]:
                         families.add(family)
-        yield pa.RecordBatch.from_arrays([pa.array(having, pa.string()), pa.array(map(list, having.values()), pa.list_(pa.int64()))], ["f", "families"])
+                if len(having) > HELD:
+                    yield rows_of(having)
+                    having = {}
+        yield rows_of(having)
 
     parts = rows.select("_text", "_family").mapInArrow(found, "f string, families array<long>")
     return parts.groupBy("f").agg(F.array_distinct(F.flatten(F.collect_list("families"))).alias("families"))
