@@ -780,7 +780,7 @@ def png_files(s, d):
     """A colour image written as a PNG file and read back by Spark's image source."""
     path = _folder(s, "png")
     images.write_png(fx.rgb_px(s, d), path, ["b", "g", "r"])
-    return images.read_images(s, f"{path}/*").select("y", "x", "b", "g", "r")
+    return images.read_images(s, f"{path}/*", holes=True).select("y", "x", "b", "g", "r")
 
 
 @query(fx.sql("SELECT y, x, v FROM mosaic", "mosaic"))

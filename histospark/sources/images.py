@@ -26,9 +26,22 @@ def _image_id():
     return F.xxhash64("path")
 
 
-def read_images(spark: SparkSession, path: str, mode: str = "colour") -> DataFrame:
+def _in_batches(image: int, name: str, a: np.ndarray, channels: list[int], present: np.ndarray | None = None):
+    """(number of rows, columns of image_id, path, y, x and ``channels`` of ``a``) for some ROWS of an image's pixels at a time, by lines; with ``present``
+    only for the pixels that it marks."""
+    h, w = a.shape[:2]
+    for top in range(0, h, max(1, ROWS // w)):
+        part = a[top : top + max(1, ROWS // w)]
+        y, x = np.nonzero(np.ones(part.shape[:2], bool) if present is None else present[top : top + len(part)])
+        n = len(y)
+        same = [pa.array(np.full(n, image), pa.int64()), pa.array([name]).take(pa.array(np.zeros(n, np.int64)))]
+        yield n, [*same, *[pa.array(v, pa.int32()) for v in (y + top, x, *(part[y, x, c] for c in channels))]]
+
+
+def read_images(spark: SparkSession, path: str, mode: str = "colour", holes: bool = False) -> DataFrame:
     """PNG, JPEG, BMP by Spark's image source: pixels with b, g, r (``colour``), or v (``gray``), or as stored (``unchanged``: v of gray images, else b, g, r
-    of which v is null). Files that can't be read give no pixels; see ``read_status``."""
+    of which v is null). With ``holes``, fully transparent pixels are left out, as ``write_png`` marks those that an image hasn't got. Files that can't be
+    read give no pixels; see ``read_status``."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").withColumnRenamed("origin", "path")
     names = ["image_id", "path", "y", "x", "b", "g", "r", "c"]
 
@@ -37,12 +50,9 @@ def read_images(spark: SparkSession, path: str, mode: str = "colour") -> DataFra
         for batch in batches:
             for image, name, h, w, channels, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 a = np.frombuffer(data, np.uint8).reshape(h, w, channels)
-                for top in range(0, h, max(1, ROWS // w)):
-                    part = a[top : top + max(1, ROWS // w)]
-                    y, x = (i.ravel() for i in np.mgrid[top : top + len(part), 0:w])
-                    planes = [part[:, :, c if channels >= 3 else 0].ravel() for c in range(3)]
-                    columns = [pa.array(np.full(len(y), image), pa.int64()), pa.array([name]).take(pa.array(np.zeros(len(y), np.int64))), *[pa.array(v, pa.int32()) for v in (y, x, *planes)], pa.array(np.full(len(y), channels >= 3))]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                present = a[:, :, 3] > 0 if holes and channels == 4 else None
+                for n, columns in _in_batches(image, name, a, [0, 1, 2] if channels >= 3 else [0, 0, 0], present):
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, channels >= 3))], names)
 
     px = raw.select(_image_id().alias("image_id"), "path", "height", "width", "nChannels", "data").mapInArrow(decoded, COLOUR + ", c boolean")
     if mode == "colour":
@@ -106,7 +116,8 @@ def read_pnm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_blobs(px: DataFrame, columns: list[str], dtype: str = "uint8") -> DataFrame:
-    """(image_id, h, w, tag, content): each image as one row of row-major interleaved values, tagged like 8UC3."""
+    """(image_id, h, w, tag, content, present): each image as one row of row-major interleaved values, tagged like 8UC3. Pixels that it hasn't got are 0, and
+    ``present`` then is a byte for each pixel, else null."""
     tag = f"{DEPTHS[dtype]}C{len(columns)}"
 
     def packed(t: pa.Table) -> pa.Table:
@@ -114,9 +125,12 @@ def as_blobs(px: DataFrame, columns: list[str], dtype: str = "uint8") -> DataFra
         out = np.zeros((int(y.max()) + 1, int(x.max()) + 1, len(columns)), dtype)
         for c, name in enumerate(columns):
             out[y, x, c] = t.column(name).to_numpy()
-        return pa.table({"image_id": pa.array([t.column("image_id")[0].as_py()], pa.int64()), "h": pa.array([out.shape[0]], pa.int32()), "w": pa.array([out.shape[1]], pa.int32()), "tag": [tag], "content": pa.array([out.tobytes()], pa.binary())})
+        present = np.zeros(out.shape[:2], bool)
+        present[y, x] = True
+        marks = None if present.all() else present.tobytes()
+        return pa.table({"image_id": pa.array([t.column("image_id")[0].as_py()], pa.int64()), "h": pa.array([out.shape[0]], pa.int32()), "w": pa.array([out.shape[1]], pa.int32()), "tag": [tag], "content": pa.array([out.tobytes()], pa.binary()), "present": pa.array([marks], pa.binary())})
 
-    return px.select(*PIXEL, *columns).groupBy("image_id").applyInArrow(packed, "image_id long, h int, w int, tag string, content binary")
+    return px.select(*PIXEL, *columns).groupBy("image_id").applyInArrow(packed, "image_id long, h int, w int, tag string, content binary, present binary")
 
 
 def raw_name(prefix: str, stage: str, tag: str) -> str:
@@ -156,26 +170,31 @@ def read_raw(spark: SparkSession, path: str, height: int, width: int) -> DataFra
 
 
 def png_bytes(a: np.ndarray) -> bytes:
-    """A PNG of 8-bit values (h, w, 1: gray, or 3: red, green, blue)."""
+    """A PNG of 8-bit values (h, w, 1: gray, 3: red, green, blue, or 4: and opacity)."""
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     h, w, channels = a.shape
     lines = np.concatenate([np.zeros((h, 1), np.uint8), a.astype(np.uint8).reshape(h, -1)], axis=1)
-    head = struct.pack(">IIBBBBB", w, h, 8, 2 if channels == 3 else 0, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
 def write_png(px: DataFrame, path: str, columns: list[str]) -> None:
-    """Images as PNG files, in folders ``name=<image_id>.png``; ``columns`` are one gray plane, or blue, green and red."""
+    """Images as PNG files, in folders ``name=<image_id>.png``; ``columns`` are one gray plane, or blue, green and red. An image that hasn't got all pixels of
+    its rectangle is written in colours with opacity, 0 where there is none and 255 elsewhere."""
 
     def packed(batches):
         for batch in batches:
             names, out = [], []
-            for image, h, w, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for image, h, w, content, present in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                planes = np.frombuffer(content, np.uint8).reshape(h, w, len(columns))[:, :, ::-1]
+                if present is not None:
+                    opacity = np.frombuffer(present, np.uint8).reshape(h, w, 1) * np.uint8(255)
+                    planes = np.concatenate([*[planes] * (3 // len(columns)), opacity], axis=2)
                 names.append(f"{image}.png")
-                out.append(png_bytes(np.frombuffer(content, np.uint8).reshape(h, w, len(columns))[:, :, ::-1]))
+                out.append(png_bytes(planes))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], ["name", "content"])
 
-    _write_files(as_blobs(px, columns).select("image_id", "h", "w", "content").mapInArrow(packed, "name string, content binary"), path)
+    _write_files(as_blobs(px, columns).select("image_id", "h", "w", "content", "present").mapInArrow(packed, "name string, content binary"), path)
 
 
 def write_pgm(px: DataFrame, path: str, column: str = "v") -> None:

@@ -4,13 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from histospark import queries
 from histospark.functions import pixels as p
 from histospark.kernels import arrays as k
 from histospark.kernels import arrays as kernels
 from histospark.operators import compare, components, eventlog, features, geodesic, histogram, layout, neighbors, watershed
 from histospark.plans import segmentation
+from histospark.sources import fixtures, logs
 from histospark.sources import images as io
-from histospark.sources import logs
 from histospark.streaming import ingest
 
 
@@ -256,3 +257,26 @@ def test_nested_contours_have_the_label_of_the_outermost(spark):
     want = np.zeros((12, 12), int)
     want[1:9, 1:9], want[10, 10] = 1, 2
     assert (got == want).all()
+
+
+#: Lines that end early, begin late, have a gap, and are missing.
+RAGGED = [(0, 0, 5), (0, 1, 6), (0, 2, 7), (1, 0, 8), (2, 1, 0), (2, 2, 9), (4, 0, 4), (4, 2, 3)]
+
+
+def test_png_of_an_image_without_some_pixels(spark, tmp_path):
+    image = spark.createDataFrame([(3, y, x, v, v + 10, v + 20) for y, x, v in RAGGED], "image_id long, y int, x int, b int, g int, r int")
+    io.write_png(image, str(tmp_path / "png"), ["b", "g", "r"])
+    got = io.read_images(spark, str(tmp_path / "png" / "*"), holes=True).collect()
+    assert sorted((r["y"], r["x"], r["b"], r["g"], r["r"]) for r in got) == [(y, x, v, v + 10, v + 20) for y, x, v in RAGGED]
+    io.write_png(image, str(tmp_path / "gray"), ["g"])
+    got = io.read_images(spark, str(tmp_path / "gray" / "*"), "gray", holes=True).collect()
+    assert sorted((r["y"], r["x"], r["v"]) for r in got) == [(y, x, v + 10) for y, x, v in RAGGED]
+
+
+@pytest.mark.parametrize("name", ["png_files"])
+def test_files_of_a_mosaic_whose_last_row_is_not_full(spark, tmp_path, name):
+    spark.range(27).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST(((id * 64 + i) % 101 - 50) / 100 AS FLOAT)) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    px = fixtures.rgb_px(spark, str(tmp_path))
+    want = {"png_files": px.select("y", "x", "b", "g", "r"), "pgm_files": px.selectExpr("y", "x", "r AS v"), "gray_files": px.select("y", "x", p.bgr2gray(F.col("b"), F.col("g"), F.col("r")).alias("v"))}[name]
+    assert got.count() == 27 * 64 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
