@@ -796,7 +796,7 @@ def gray_files(s, d):
     """A colour image read as a gray one."""
     path = _folder(s, "gray")
     images.write_png(fx.rgb_px(s, d), path, ["b", "g", "r"])
-    return images.read_images(s, f"{path}/*", "gray").select("y", "x", "v")
+    return images.read_images(s, f"{path}/*", "gray", holes=True).select("y", "x", "v")
 
 
 @query("SELECT unnest(['large', 'difference']) AS stage, unnest([true, true]) AS kept")

@@ -273,7 +273,7 @@ def test_png_of_an_image_without_some_pixels(spark, tmp_path):
     assert sorted((r["y"], r["x"], r["v"]) for r in got) == [(y, x, v + 10) for y, x, v in RAGGED]
 
 
-@pytest.mark.parametrize("name", ["png_files"])
+@pytest.mark.parametrize("name", ["png_files", "gray_files"])
 def test_files_of_a_mosaic_whose_last_row_is_not_full(spark, tmp_path, name):
     spark.range(27).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST(((id * 64 + i) % 101 - 50) / 100 AS FLOAT)) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = queries.QUERIES[name](spark, str(tmp_path))
