@@ -96,20 +96,40 @@ def parse_pnm(data: bytes) -> np.ndarray:
     if kind == "P1":
         digits = [c for c in body if c in b"01"]
         return (1 - (np.array(digits[: h * w]) - 48)).reshape(h, w, 1) * 255
-    return np.array(body.split()[: h * w * channels], int).reshape(h, w, channels)
+    return np.fromstring(body, int, h * w * channels, sep=" ").reshape(h, w, channels)
+
+
+#: Comment in the head of a PGM file for pixels of a line that the image hasn't got: y, first x, number.
+ABSENT = "# absent"
+
+
+def _absent(present: bytes | None, h: int, w: int) -> list[str]:
+    """The comments on the pixels that an image of ``as_blobs`` hasn't got."""
+    if present is None:
+        return []
+    steps = np.diff(np.pad(np.frombuffer(present, bool).reshape(h, w), ((0, 0), (1, 1)), constant_values=True).astype(np.int8), axis=1)
+    (ys, starts), (_, ends) = np.nonzero(steps < 0), np.nonzero(steps > 0)
+    return [f"{ABSENT} {y} {x} {end - x}" for y, x, end in zip(ys.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _present(data: bytes, shape: tuple[int, int]) -> np.ndarray | None:
+    """Which pixels of a PNM file the image has got; None: all."""
+    runs = [[int(i) for i in m.groups()] for m in re.finditer(rb"^%s (\d+) (\d+) (\d+)$" % ABSENT.encode(), data, re.MULTILINE)] if data[:2] == b"P2" else []
+    out = np.ones(shape, bool) if runs else None
+    for y, x, n in runs:
+        out[y, x : x + n] = False
+    return out
 
 
 def read_pnm(spark: SparkSession, path: str) -> DataFrame:
-    """Colour pixels of PNM files (channels are red, green, blue in the file; gray ones count three times)."""
+    """Colour pixels of PNM files (channels are red, green, blue in the file; gray ones count three times), without those that ``write_pgm`` notes as absent."""
 
     def parsed(batches):
         for batch in batches:
             for image, name, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 a = parse_pnm(content)
-                y, x = (i.ravel() for i in np.mgrid[0 : a.shape[0], 0 : a.shape[1]])
-                planes = [a[:, :, min(c, a.shape[2] - 1)].ravel() for c in (2, 1, 0)]
-                columns = [pa.array(np.full(len(y), image), pa.int64()), pa.array([name] * len(y)), *[pa.array(v, pa.int32()) for v in (y, x, *planes)]]
-                yield pa.RecordBatch.from_arrays(columns, ["image_id", "path", "y", "x", "b", "g", "r"])
+                for _, columns in _in_batches(image, name, a, [min(c, a.shape[2] - 1) for c in (2, 1, 0)], _present(content, a.shape[:2])):
+                    yield pa.RecordBatch.from_arrays(columns, ["image_id", "path", "y", "x", "b", "g", "r"])
 
     files = spark.read.format("binaryFile").load(path).select(_image_id().alias("image_id"), "path", "content")
     return files.mapInArrow(parsed, COLOUR)
@@ -198,12 +218,20 @@ def write_png(px: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def write_pgm(px: DataFrame, path: str, column: str = "v") -> None:
-    """Gray images as plain PGM text, one directory entry per image, by Spark's text sink."""
-    rows = px.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", column))).alias("p"))
-    line = F.concat_ws(" ", F.transform("p", lambda e: e[column].cast("string")))
-    whole = rows.select("image_id", "y", F.size("p").alias("w"), line.alias("line")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("l"), F.max("w").alias("w"))
-    text = F.concat_ws("\n", F.lit("P2"), F.concat_ws(" ", F.col("w").cast("string"), F.size("l").cast("string")), F.lit("255"), F.concat_ws("\n", F.transform("l", lambda e: e["line"])))
-    whole.select("image_id", text.alias("value")).write.partitionBy("image_id").mode("overwrite").text(path)
+    """Gray images as plain PGM text, one directory entry per image, by Spark's text sink. Pixels that an image hasn't got are 0, and comments (ABSENT) say
+    which they are."""
+
+    def packed(batches):
+        for batch in batches:
+            images, out = [], []
+            for image, h, w, content, present in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                lines = (" ".join(map(str, line.tolist())) for line in np.frombuffer(content, np.int32).reshape(h, w))
+                images.append(image)
+                out.append("\n".join(["P2", *_absent(present, h, w), f"{w} {h}", "255", *lines]))
+            yield pa.RecordBatch.from_arrays([pa.array(images, pa.int64()), pa.array(out, pa.string())], ["image_id", "value"])
+
+    blobs = as_blobs(px, [column], "int32").select("image_id", "h", "w", "content", "present")
+    blobs.mapInArrow(packed, "image_id long, value string").write.partitionBy("image_id").mode("overwrite").text(path)
 
 
 class StageSink:

@@ -263,6 +263,13 @@ def test_nested_contours_have_the_label_of_the_outermost(spark):
 RAGGED = [(0, 0, 5), (0, 1, 6), (0, 2, 7), (1, 0, 8), (2, 1, 0), (2, 2, 9), (4, 0, 4), (4, 2, 3)]
 
 
+def test_pgm_of_an_image_without_some_pixels(spark, tmp_path):
+    image = spark.createDataFrame([(3, *p) for p in RAGGED], "image_id long, y int, x int, v int")
+    io.write_pgm(image, str(tmp_path / "pgm"))
+    got = io.read_pnm(spark, str(tmp_path / "pgm" / "*")).collect()
+    assert sorted((r["y"], r["x"], r["b"], r["g"], r["r"]) for r in got) == [(y, x, v, v, v) for y, x, v in RAGGED]
+
+
 def test_png_of_an_image_without_some_pixels(spark, tmp_path):
     image = spark.createDataFrame([(3, y, x, v, v + 10, v + 20) for y, x, v in RAGGED], "image_id long, y int, x int, b int, g int, r int")
     io.write_png(image, str(tmp_path / "png"), ["b", "g", "r"])
@@ -273,7 +280,7 @@ def test_png_of_an_image_without_some_pixels(spark, tmp_path):
     assert sorted((r["y"], r["x"], r["v"]) for r in got) == [(y, x, v + 10) for y, x, v in RAGGED]
 
 
-@pytest.mark.parametrize("name", ["png_files", "gray_files"])
+@pytest.mark.parametrize("name", ["png_files", "pgm_files", "gray_files"])
 def test_files_of_a_mosaic_whose_last_row_is_not_full(spark, tmp_path, name):
     spark.range(27).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST(((id * 64 + i) % 101 - 50) / 100 AS FLOAT)) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = queries.QUERIES[name](spark, str(tmp_path))
