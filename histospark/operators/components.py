@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import arrays as k
 from ..plans.fixpoint import least_reachable
-from ..plans.storage import table
+from ..plans.storage import by_shuffle, table
 from ..plans.tiles import TILE, arrays, tiled
 from ..schema import OBJECT, PIXEL
 
@@ -36,7 +36,7 @@ def label(px: DataFrame, cols: int, connectivity: int, column: str = "v", tile:
         return pa.table({"image_id": pa.array(np.full(n, t.column("image_id")[0].as_py()), pa.int64()), "y": pa.array(y + y0, pa.int32()), "x": pa.array(x + x0, pa.int32()), "v": pa.array(dense["v"][y, x]), "label": pa.array(linear, pa.int64())})
 
     # The smallest local index is not always that of the smallest linear one, but it is within a tile: rows first.
-    labelled = table(own.groupBy("image_id", "ty", "tx").applyInArrow(local, "image_id long, y int, x int, v double, label long"), "tile-labels")
+    labelled = by_shuffle(table(own.groupBy("image_id", "ty", "tx").applyInArrow(local, "image_id long, y int, x int, v double, label long"), "tile-labels"))
     on_seam = (F.col("y") % tile == 0) | (F.col("x") % tile == 0) | (F.col("y") % tile == tile - 1) | (F.col("x") % tile == tile - 1)
     seam = labelled.where(on_seam)
     ahead = [o for o in k.near(connectivity) if o > (0, 0)]
@@ -66,7 +66,7 @@ def area(labels: DataFrame) -> DataFrame:
 def area_filter(labels: DataFrame, lower: int, upper: int | None = None) -> DataFrame:
     """Pixels of objects with lower <= area < upper."""
     fits = F.col("area") >= lower
-    return labels.join(area(labels).where(fits & (F.col("area") < upper) if upper is not None else fits), OBJECT, "left_semi")
+    return labels.join(by_shuffle(area(labels).where(fits & (F.col("area") < upper) if upper is not None else fits)), OBJECT, "left_semi")
 
 
 def area_threshold(px: DataFrame, cols: int, lower: int, upper: int | None, connectivity: int, tile: int = TILE) -> DataFrame:
@@ -101,7 +101,7 @@ def renumbered(found: DataFrame) -> DataFrame:
 def label_filtered(px: DataFrame, cols: int, connectivity: int, keep: Callable[[DataFrame], DataFrame] | Column, binary: bool = False, tile: int = TILE) -> DataFrame:
     """Labels of the objects that a predicate keeps: a column over (area, minx, maxx, miny, maxy), or a function from that table of
     objects to the objects to keep."""
-    labels = table(label(px, cols, connectivity, tile=tile), "labels")
+    labels = by_shuffle(table(label(px, cols, connectivity, tile=tile), "labels"))
     kept = keep(objects(labels)) if callable(keep) else objects(labels).where(keep)
     out = labels.join(kept.select(*OBJECT), OBJECT, "left_semi")
     return out.select(*PIXEL, F.lit(255).alias("v")) if binary else out

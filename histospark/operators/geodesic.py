@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import arrays as k
-from ..plans.storage import discard, table
+from ..plans.storage import by_shuffle, discard, table
 from ..plans.tiles import TILE, arrays, per_image, rows, tiled
 from ..schema import OBJECT, PIXEL
 from .components import label
@@ -132,15 +132,15 @@ def reconstruct_binary(px: DataFrame, cols: int, connectivity: int, tile: int =
     No iteration beyond labelling."""
     mask = px.where("mask != 0").select(*PIXEL, F.lit(1).alias("v"))
     labels = label(mask, cols, connectivity, tile=tile)
-    seeds = px.where("marker != 0").select(*PIXEL)
-    touched = labels.join(seeds, PIXEL, "left_semi").select(*OBJECT).distinct()
+    seeds = by_shuffle(px.where("marker != 0").select(*PIXEL))
+    touched = by_shuffle(labels.join(seeds, PIXEL, "left_semi").select(*OBJECT).distinct())
     outside = px.where("marker != 0 AND mask = 0").select(*PIXEL)
     return labels.join(touched, OBJECT, "left_semi").select(*PIXEL).unionByName(outside).select(*PIXEL, F.lit(255).alias("v"))
 
 
 def select(px: DataFrame, seeds: DataFrame, cols: int, connectivity: int, tile: int = TILE) -> DataFrame:
     """Foreground pixels of the components of ``px`` (v != 0) that contain a seed."""
-    labels = table(label(px.where("v != 0").select(*PIXEL, F.lit(1).alias("v")), cols, connectivity, tile=tile), "labels")
+    labels = by_shuffle(table(label(px.where("v != 0").select(*PIXEL, F.lit(1).alias("v")), cols, connectivity, tile=tile), "labels"))
     touched = labels.join(seeds.select(*PIXEL), PIXEL, "left_semi").select(*OBJECT).distinct()
     return labels.join(touched, OBJECT, "left_semi").select(*PIXEL)
 
@@ -149,7 +149,7 @@ def fill_from_seeds(px: DataFrame, seeds: DataFrame, cols: int, connectivity: in
     """A binary image (v 0 or 255) with the background components of the seeds filled."""
     background = px.where("v = 0").select(*PIXEL, F.lit(1).alias("v"))
     flooded = select(background, seeds, cols, connectivity, tile).withColumn("_in", F.lit(True))
-    return px.join(flooded, PIXEL, "left").select(*PIXEL, F.when(F.col("_in"), F.lit(255)).otherwise(F.col("v")).alias("v"))
+    return px.join(by_shuffle(flooded), PIXEL, "left").select(*PIXEL, F.when(F.col("_in"), F.lit(255)).otherwise(F.col("v")).alias("v"))
 
 
 def _edge(px: DataFrame) -> DataFrame:
@@ -163,10 +163,10 @@ def _edge(px: DataFrame) -> DataFrame:
 def fill_holes(px: DataFrame, cols: int, connectivity: int, tile: int = TILE) -> DataFrame:
     """A binary image with the background components that don't reach the border filled. ``connectivity`` is that of the background."""
     background = px.where("v = 0").select(*PIXEL, F.lit(1).alias("v"))
-    labels = table(label(background, cols, connectivity, tile=tile), "background")
+    labels = by_shuffle(table(label(background, cols, connectivity, tile=tile), "background"))
     open_ = labels.join(_edge(px.select(*PIXEL)).where("_edge").select(*PIXEL), PIXEL, "left_semi").select(*OBJECT).distinct()
     holes = labels.join(open_, OBJECT, "left_anti").select(*PIXEL, F.lit(True).alias("_in"))
-    return px.join(holes, PIXEL, "left").select(*PIXEL, F.when(F.col("_in"), F.lit(255)).otherwise(F.col("v")).alias("v"))
+    return px.join(by_shuffle(holes), PIXEL, "left").select(*PIXEL, F.when(F.col("_in"), F.lit(255)).otherwise(F.col("v")).alias("v"))
 
 
 def fill_holes_gray(px: DataFrame, connectivity: int, tile: int = TILE) -> DataFrame:
@@ -186,11 +186,11 @@ def h_minima(px: DataFrame, h: float, connectivity: int, eight_bit: bool = True,
 
 def regional_maxima(px: DataFrame, cols: int, connectivity: int, tile: int = TILE) -> DataFrame:
     """(image_id, y, x, v): 255 on flat zones without a higher neighbour, else 0. Zones are labels of equal values, shifted off zero."""
-    zones = table(label(px.select(*PIXEL, (F.col("v") + 1).alias("v")), cols, connectivity, tile=tile), "zones")
+    zones = by_shuffle(table(label(px.select(*PIXEL, (F.col("v") + 1).alias("v")), cols, connectivity, tile=tile), "zones"))
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in k.near(connectivity)])
     around = px.select(*PIXEL, "v", F.explode(steps).alias("o"))
     higher = around.groupBy("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.max("v").alias("_top"))
-    low = px.join(higher, PIXEL).where("_top > v").select(*PIXEL)
+    low = px.join(by_shuffle(higher), PIXEL).where("_top > v").select(*PIXEL)
     not_top = zones.join(low, PIXEL, "left_semi").select(*OBJECT).distinct().withColumn("_low", F.lit(True))
     return zones.join(not_top, OBJECT, "left").select(*PIXEL, F.when(F.col("_low"), F.lit(0)).otherwise(F.lit(255)).alias("v"))
 

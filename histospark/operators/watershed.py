@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import arrays as k
-from ..plans.storage import table
+from ..plans.storage import by_shuffle, table
 from ..plans.tiles import arrays, per_image, rows, with_halo
 from ..schema import PIXEL
 from .geodesic import reconstruct_binary
@@ -60,6 +60,6 @@ def canny(px: DataFrame, low: float = 70, high: float = 90, tile: int | None = N
         return rows(t.column("image_id")[0].as_py(), y0, x0, own, {"marker": strong.astype(int), "mask": weak.astype(int)}, {"marker": pa.int32(), "mask": pa.int32()})
 
     found = with_halo(px.select(*PIXEL, "v"), tile, 3).groupBy("image_id", "ty", "tx").applyInArrow(marks, "image_id long, y int, x int, marker int, mask int")
-    found = table(found, "canny-marks")
+    found = by_shuffle(table(found, "canny-marks"))
     edges = reconstruct_binary(found, WIDEST, 8, tile).select(*PIXEL, F.col("v").alias("_on"))
     return found.select(*PIXEL).join(edges, PIXEL, "left").select(*PIXEL, F.coalesce("_on", F.lit(0)).alias("v"))

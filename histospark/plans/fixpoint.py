@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, table
+from .storage import by_shuffle, discard, table
 
 MOST_ROUNDS = 100_000
 SALTS = 16
@@ -30,13 +30,13 @@ def least_reachable(edges: DataFrame) -> DataFrame:
     Nodes take the smallest label among their neighbours' and then that label's label, so paths shrink by powers.
     """
     both = edges.select("image_id", "a", "b").union(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = table(both, "edges")
+    both = by_shuffle(table(both, "edges"))
     start = both.groupBy("image_id", "a").agg(F.min("b").alias("m")).select("image_id", F.col("a").alias("node"), F.least("a", "m").alias("root"), F.lit(True).alias("changed"))
 
     def step(labels: DataFrame) -> DataFrame:
         named = labels.select("image_id", F.col("node").alias("a"), "root")
         heard = both.join(named, ["image_id", "a"]).groupBy("image_id", F.col("b").alias("node")).agg(F.min("root").alias("m"))
-        better = labels.join(heard, ["image_id", "node"]).select("image_id", "node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        better = by_shuffle(labels).join(heard, ["image_id", "node"]).select("image_id", "node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         # Many nodes may have one root: what it has itself comes to them by a salted key.
         better = better.withColumn("s", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
         over = better.select("image_id", F.col("node").alias("root"), F.col("root").alias("further"))

@@ -31,6 +31,12 @@ def table(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df``, for joins by pixel, object or node. Such rows are some ten times larger in memory than in files, from whose size Spark would take those of whole
+    images for small enough to be joined by way of the driver."""
+    return df.hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``table`` wrote, once all that is made of it is written in its turn."""
     if path := getattr(df, "stored_at", None):

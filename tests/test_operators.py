@@ -259,6 +259,21 @@ def test_nested_contours_have_the_label_of_the_outermost(spark):
     assert (got == want).all()
 
 
+def test_marks_of_edges_are_not_joined_by_way_of_the_driver(spark):
+    """Files of marks are small beside their rows; so are these, of any size, beside the bound for such joins."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+    try:
+        image = px(spark, np.random.default_rng(4).integers(0, 256, (16, 16)))
+        edges = watershed.canny(image, tile=8)
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        whole = array(watershed.canny(image), (16, 16))
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 0
+        assert (array(edges, (16, 16)) == whole).all()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 #: Lines that end early, begin late, have a gap, and are missing.
 RAGGED = [(0, 0, 5), (0, 1, 6), (0, 2, 7), (1, 0, 8), (2, 1, 0), (2, 2, 9), (4, 0, 4), (4, 2, 3)]
 
