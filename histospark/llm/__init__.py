@@ -1 +1,5 @@
 """Operators for preparing large text corpora; nothing outside this subpackage imports it."""
+
+from .worker_memory import settle
+
+settle()

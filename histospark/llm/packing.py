@@ -20,10 +20,11 @@ from tokenizers import Tokenizer
 
 from .storage import stored
 from .words import ChunkTable, Vocabulary, byte_symbols, chunks
+from .worker_memory import tidied
 
 TOKENS_PER_GROUP = 32_000_000
 OPEN_BINS = 64
-_TABLES: dict[int, ChunkTable] = {}
+_TABLES: dict[int, tuple[ChunkTable, ChunkTable]] = {}
 
 
 def best_fit(lengths: list[int], capacity: int, open_bins: int) -> list[tuple[int, int]]:
@@ -54,8 +55,8 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> list[tuple[in
     return out
 
 
-def _ids(key: int, text: str) -> ChunkTable:
-    """This worker's table of ids, as little-endian 32-bit numbers, by chunk; words are split by the tokenizers library's model."""
+def _ids(key: int, text: str) -> tuple[ChunkTable, ChunkTable]:
+    """This worker's tables of ids, as little-endian 32-bit numbers, by chunk and by word; words are split by the tokenizers library's model."""
     if key not in _TABLES:
         vocabulary = Vocabulary(text)
         model, shown = Tokenizer.from_str(text).model, byte_symbols()
@@ -66,7 +67,7 @@ def _ids(key: int, text: str) -> ChunkTable:
             parts = [packed([p]) if isinstance(p, int) else words[p] for p in vocabulary.pieces(chunk)]
             return parts[0] if len(parts) == 1 else b"".join(parts)
 
-        _TABLES[key] = ChunkTable(coded)
+        _TABLES[key] = ChunkTable(coded), words
     return _TABLES[key]
 
 
@@ -78,7 +79,15 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int, id
     key, end, step = hash(vocabulary_path), end_id.to_bytes(4, "little"), 4 * capacity
 
     def cut(batches):
-        table = _ids(key, shared.value)
+        tables = _ids(key, shared.value)
+        table = tables[0]
+        try:
+            yield from _cut(batches, table)
+        finally:
+            for each in tables:
+                each.forget()
+
+    def _cut(batches, table):
         for batch in batches:
             out: list[tuple] = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -91,7 +100,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int, id
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInArrow(cut, "_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidied(cut), "_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
+from .worker_memory import tidied
 
 SAMPLE = 20_000
 #: Lengths of the beginnings that are features; shorter and longer words are features whole.
@@ -196,7 +197,7 @@ def _having(rows: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
                     having = {}
         yield rows_of(having)
 
-    parts = rows.select("_text", "_family").mapInArrow(found, "f string, families array<long>")
+    parts = rows.select("_text", "_family").mapInArrow(tidied(found), "f string, families array<long>")
     return parts.groupBy("f").agg(F.array_distinct(F.flatten(F.collect_list("families"))).alias("families"))
 
 
@@ -359,4 +360,4 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") ->
             texts = batch.column(batch.schema.get_field_index(text_col))
             yield batch.filter(pa.array([own.score(own.density(t.as_py() or "")) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidied(clean), docs.schema)

@@ -93,6 +93,11 @@ class ChunkTable(dict):
         super().__init__()
         self.work, self.limit, self.older = work, limit, {}
 
+    def forget(self) -> None:
+        """Empty the table; it fills again in the first megabytes of a task."""
+        self.clear()
+        self.older = {}
+
     def __missing__(self, chunk):
         value = self.older.get(chunk)
         if value is None:

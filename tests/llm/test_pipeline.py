@@ -96,3 +96,47 @@ def test_stages_on_an_empty_table(spark, odd_tables):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs.limit(0), folder)
         assert got.count() == 0 and (name == corpus_pipeline.STAGES[-1][0] or got.columns == docs.columns)
+
+
+def test_workers_give_freed_memory_back(spark):
+    def held(batches):
+        import os
+
+        import numpy as np
+        import pyarrow as pa
+
+        import histospark.llm  # noqa: F401
+
+        def resident():
+            with open("/proc/self/statm") as f:
+                return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+        for _ in batches:
+            before, pins = resident(), []
+            for _ in range(3):
+                blocks = []
+                for _ in range(80):  # small objects that stay, between large ones that go
+                    blocks += [np.ones(3 << 17), pa.array(np.ones(3 << 17)).cast(pa.float32())]
+                    pins.append(np.ones(500))
+                del blocks
+            yield pa.RecordBatch.from_arrays([pa.array([resident() - before], pa.int64()), pa.array([pa.default_memory_pool().backend_name])], ["mb", "pool"])
+
+    got = spark.range(1).coalesce(1).mapInArrow(held, "mb long, pool string").first()
+    assert got["pool"] == "system" and got["mb"] < 40
+    import pyarrow
+
+    assert pyarrow.default_memory_pool().backend_name != "system"  # the driver's process is as it was
+
+
+def test_packing_leaves_no_tables_in_idle_workers(spark, docs):
+    from histospark.llm import packing
+    from histospark.llm.queries import WORD_BPE
+
+    def left(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t) + len(t.older) for tables in packing._TABLES.values() for t in tables)], pa.int64())], ["n"])
+
+    assert packing.pack(docs, WORD_BPE).count() > docs.count()
+    assert {r["n"] for r in spark.range(40).repartition(4).mapInArrow(left, "n long").collect()} == {0}
